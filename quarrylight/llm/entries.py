@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, licenses, mixing, packing, pii
+from . import classify, fertility, licenses, mixing, neardup, packing, pii
 from .common import table
 
 
@@ -16,11 +16,14 @@ def _documents(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, st
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": lambda spark, d: classify.quality(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op2_toxicity": lambda spark, d: classify.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_mixing": _documents(mixing.query),
         "op4_fertility": _documents(fertility.judge),
         "op6_best_fit": _documents(packing.best_fit),
         "op7_licenses": _documents(licenses.scan),
         "op9_pii": _documents(pii.scan),
+        "op10_jaccard_join": _documents(neardup.linked),
     }
 
 
