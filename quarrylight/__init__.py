@@ -1,0 +1,8 @@
+"""Corpus analysis on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to executors by value, so that workers need no copy of it on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
