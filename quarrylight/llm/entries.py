@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, fertility, licenses, mixing, neardup, packing, pii
+from . import chroma, classify, fertility, licenses, mixing, neardup, packing, pii
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fertility": _documents(fertility.judge),
         "op6_best_fit": _documents(packing.best_fit),
         "op7_licenses": _documents(licenses.scan),
+        "op8_chroma": lambda spark, d: chroma.query(table(spark, d, "conversations")),
         "op9_pii": _documents(pii.scan),
         "op10_jaccard_join": _documents(neardup.linked),
     }
