@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chroma, classify, fertility, licenses, mixing, neardup, packing, pii
+from . import chroma, classify, fertility, licenses, mixing, neardup, packing, pii, substrings
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": lambda spark, d: classify.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_mixing": _documents(mixing.query),
         "op4_fertility": _documents(fertility.judge),
+        "op5_suffix_array": _documents(substrings.remove_repeats),
         "op6_best_fit": _documents(packing.best_fit),
         "op7_licenses": _documents(licenses.scan),
         "op8_chroma": lambda spark, d: chroma.query(table(spark, d, "conversations")),
