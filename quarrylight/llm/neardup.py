@@ -7,7 +7,8 @@ positional bounds become candidates.
 
 A shingle held by many nodes (one large group of near copies, say) is not expanded into all pairs. Its nodes are compared with
 the group's least node first. When components of those links are known, only groups that still hold nodes of several components
-are looked at again, and only pairs across components are added. Pairs inside a component cannot change the result, so no link
+are looked at again, and only pairs across components are added, after a bound on how far two sets differ (the parity of their
+shingles on 2 ** k places). Pairs inside a component cannot change the result, so no link
 between components is lost and nothing is capped.
 
 Candidates are verified on both whole texts, each distinct pair once; a suffix filter on the tails gives up early.
@@ -37,15 +38,28 @@ SKETCH_BITS = 20
 CHUNK = 4096
 #: Nodes at one shingle up to which all their pairs are made at once.
 SMALL_GROUP = 16
+#: Places of a set's parity.
+LEAST_MOST_BITS = (1024, 65536)
 #: Documents whose prefixes fill one bucket.
 BUCKET_DOCS = 2000
 
 
+PROFILE = ["doc_id", "node", "n", "chunk", "counts", "parity"]
+
+
 def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """Which of 2 ** k places an odd number of shingles falls on, packed into words; k grows with the set. Two sets differ in at
+    least as many shingles as their parities differ in places. Halves may be folded onto each other by exclusive or."""
+    bits = 1 << int(np.clip(2 * len(x), *LEAST_MOST_BITS)).bit_length() - 1
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def profile(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One pass: per document its id, node key and number of shingles; per task the sketch of its shingle counts."""
 
@@ -59,23 +73,24 @@ def profile(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 pending.clear()
 
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, marks = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 x = shingler.of_words(words)
                 pending.append((x >> shift).astype(np.uint32))
                 keys.append(key_of(words) if words else None)
                 sizes.append(len(x))
+                marks.append(parity(x).tobytes() if len(x) else None)
             flush()
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "node", "n", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(marks, pa.binary())], names=PROFILE)
         rows = [(i, sketch[i * CHUNK : (i + 1) * CHUNK]) for i in range(len(sketch) // CHUNK)]
         rows = [(i, c.astype(np.uint32).tobytes()) for i, c in rows if c.any()]
         if rows:
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "node", "n", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.binary())], names=PROFILE)
 
-    return _mapped(docs.select("doc_id", "text"), run, "doc_id long, node long, n long, chunk int, counts binary")
+    return _mapped(docs.select("doc_id", "text"), run, "doc_id long, node long, n long, chunk int, counts binary, parity binary")
 
 
 def sketch_of(profiled: DataFrame) -> np.ndarray:
@@ -245,7 +260,40 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     return _mapped(two.select("a", "b", "text_a", "text_b"), check, "a long, b long")
 
 
-def across(met: DataFrame, labels: DataFrame) -> DataFrame:
+def cross(table: pa.Table) -> pa.Table:
+    """Pairs of one group's nodes in different components that pass the length, positional and parity filters. The least node
+    has been compared with all others."""
+    t = table.sort_by([("size", "ascending"), ("node", "ascending")])
+    node, n, at, c = (t.column(k).to_numpy() for k in ("node", "size", "at", "component"))
+    marks = [np.frombuffer(b, np.uint64) for b in t.column("parity").to_pylist()]
+    words = np.array([len(m) for m in marks])
+    folded: dict[int, np.ndarray] = {}
+
+    def at_level(k: int) -> np.ndarray:
+        """Parities of all nodes from the first that has k words, folded to k words."""
+        if k not in folded:
+            folded[k] = np.stack([np.bitwise_xor.reduce(m.reshape(-1, k), axis=0) if len(m) >= k else np.zeros(k, np.uint64) for m in marks])
+        return folded[k]
+
+    least = int(np.argmin(node))
+    left, right = [], []
+    for i in range(len(node) - 1):
+        if i == least:
+            continue
+        end = int(np.searchsorted(n, DEN * n[i] // NUM, side="right"))  # sorted by size: beyond it the length filter fails
+        j = np.arange(i + 1, end)
+        j = j[(c[j] != c[i]) & (j != least) & can_reach(n[i], at[i], n[j], at[j])]
+        if len(j):
+            m = at_level(int(words[i]))
+            apart = np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64)
+            j = j[(NUM + DEN) * apart <= (DEN - NUM) * (n[i] + n[j])]
+            left.append(np.minimum(node[i], node[j]))
+            right.append(np.maximum(node[i], node[j]))
+    none = np.empty(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+
+
+def across(met: DataFrame, labels: DataFrame, parities: DataFrame) -> DataFrame:
     """Pairs of large groups whose nodes are in different components so far."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,24 +302,12 @@ def across(met: DataFrame, labels: DataFrame) -> DataFrame:
                 n = np.frombuffer(nodes, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), grp), pa.int64()), pa.array(n), pa.array(np.frombuffer(sizes, np.uint32).astype(np.int64)), pa.array(np.frombuffer(at, np.uint32).astype(np.int64))], names=["grp", "node", "size", "at"])
 
-    def cross(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("size", "ascending"), ("node", "ascending")])
-        node, n, at, c = (t.column(k).to_numpy() for k in ("node", "size", "at", "component"))
-        least = int(np.argmin(node))
-        left, right = [], []
-        for i in range(len(node) - 1):
-            end = int(np.searchsorted(n, DEN * n[i] // NUM, side="right"))  # sorted by size: beyond it the length filter fails
-            j = np.arange(i + 1, end)
-            j = j[(c[j] != c[i]) & can_reach(n[i], at[i], n[j], at[j]) & (j != least)] if i != least else j[:0]
-            left.append(np.minimum(node[i], node[j]))
-            right.append(np.maximum(node[i], node[j]))
-        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
-
     groups = met.where("grp is not null").select("grp", "nodes", "sizes", "at")
     m = _mapped(groups, members, "grp long, node long, size long, at long")
     m = m.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = m.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-    return m.join(mixed, "grp", "left_semi").groupBy("grp").applyInArrow(cross, "a long, b long").distinct()
+    one = parities.groupBy("node").agg(F.first("parity").alias("parity"))
+    return m.join(mixed, "grp", "left_semi").join(one, "node").groupBy("grp").applyInArrow(cross, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -285,7 +321,7 @@ def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
     pairs = written(met.where("a is not null").select("a", "b").distinct(), "pairs")
     links = written(verify(pairs, docs, size), "links")
     labels = components(links)
-    more = written(across(met, labels), "more")
+    more = written(across(met, labels, profiled.where("node is not null").select("node", "parity")), "more")
     if more.limit(1).count():
         links = links.union(written(verify(more, docs, size), "links"))
         labels = components(links)
