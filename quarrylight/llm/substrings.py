@@ -5,9 +5,10 @@ hash of `GRAM` bytes in it. Equal strings have equal anchors at equal places, so
 anchors, and anchors that come once rule out all strings they stand for. Around the others:
 
 1. texts that come twice or more as a whole are known from a count and are settled by it;
-2. anchors whose whole surroundings (all strings through the anchor) come elsewhere settle those strings at once;
-3. of the rest, one surrounding of each kind is dealt to buckets, where its suffixes are sorted by the difference-cover
-   algorithm (sampled triples, recursion on names, merge) and neighbours in suffix order are compared over `length` bytes.
+2. anchors whose whole surroundings (all strings with this anchor) come elsewhere settle those strings at once;
+3. of the rest, one surrounding of each kind is dealt to buckets by anchor. There, laid out in words that begin at the anchors,
+   its suffixes are sorted by the difference-cover algorithm (sampled triples, recursion on names, merge) and neighbours in
+   suffix order are compared; strings are equal if their whole words and the bytes on both sides of them are.
 
 Spans found for a text are united, and every row loses the spans of its text.
 
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .suffixes import equal_windows
+from .suffixes import window_classes
 
 LENGTH = 200
 GRAM = 64
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Documents whose anchors fill one bucket, and surroundings that are sorted together.
-BUCKET_DOCS, BUCKET_PIECES = 2000, 6000
+BUCKET_DOCS, BUCKET_PIECES = 2000, 8000
+PACKED = ("h", "around", "name", "at", "back", "span")
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -74,21 +76,22 @@ def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return f(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(hasher: Hasher, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the least gram of every string of `length` bytes; of equal ones, each."""
+def anchors(hasher: Hasher, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first and last start of its strings) of the least gram of every string of `length` bytes; of equal ones,
+    each."""
+    none = np.empty(0, np.int64)
     if n < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, none
     h = hasher.grams(n, gram)
     w = length - gram + 1
     low = sliding(h, w, True)
     pad = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(h == sliding(np.concatenate([pad, low, pad]), w, False))
-    return h[at], at
-
-
-def _near(at: np.ndarray, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the strings through anchors at `at` in a text of n bytes."""
-    return np.maximum(0, at - (length - gram)), np.minimum(n, at + length)
+    ends = np.concatenate([pad, low, pad])  # of gram i, the strings start at i - w + 1 to i
+    at = np.flatnonzero(h == sliding(ends, w, False))
+    mine = np.lib.stride_tricks.sliding_window_view(ends, w)[at] == h[at, None]
+    first = at - w + 1 + mine.argmax(axis=1)
+    last = at - mine[:, ::-1].argmax(axis=1)
+    return h[at], at, first, last
 
 
 def anchored(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
@@ -98,14 +101,15 @@ def anchored(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame
         hasher, held, n_held, seen = Hasher(), [], 0, set()
 
         def emit():
-            h, around, name, at = (np.concatenate([x[k] for x in held]) for k in range(4))
+            arrays = [np.concatenate([x[k] for x in held]) for k in range(6)]
+            h = arrays[0]
             held.clear()
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.empty(0, np.int64)
             ends = np.append(first[1:], len(order))
-            cols = [[x[order[a:b]].tobytes() for a, b in zip(first, ends, strict=True)] for x in (h, around, name, at)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[order][first], pa.int64())] + [pa.array(c, pa.binary()) for c in cols], names=["bucket", "h", "around", "name", "at"])
+            cols = [[x[order[a:b]].tobytes() for a, b in zip(first, ends, strict=True)] for x in arrays]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][first], pa.int64())] + [pa.array(c, pa.binary()) for c in cols], names=["bucket", *PACKED])
 
         for batch in batches:
             for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -117,10 +121,9 @@ def anchored(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame
                 if len(data) < length:
                     continue
                 n = hasher.load(data)
-                h, at = anchors(hasher, n, length, gram)
-                lo, hi = _near(at, n, length, gram)
-                around = hasher.runs(lo, hi) ^ ((at - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - at).astype(np.uint64)
-                held.append((h, around, np.full(len(h), name, np.int64), at.astype(np.uint32)))
+                h, at, first, last = anchors(hasher, n, length, gram)
+                around = hasher.runs(first, last + length) ^ ((at - first).astype(np.uint64) << np.uint64(32)) ^ (last - at + length).astype(np.uint64)
+                held.append((h, around, np.full(len(h), name, np.int64), at.astype(np.uint32), (at - first).astype(np.uint16), (last - first).astype(np.uint16)))
                 n_held += len(h)
                 if n_held >= 300_000:
                     yield emit()
@@ -129,84 +132,85 @@ def anchored(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame
             yield emit()
 
     small_batches(docs.sparkSession)
-    return docs.select("name", "text").mapInArrow(run, "bucket long, h binary, around binary, name binary, at binary")
+    return docs.select("name", "text").mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in PACKED))
+
+
+MARKS = "name long, at long, first long, last long, h long, settled boolean"
 
 
 def repeated(packed: DataFrame) -> DataFrame:
-    """(name, at, h, settled): anchors that come twice or more. settled: the whole surroundings come elsewhere too, or not;
-    where surroundings differ, one row of each kind has settled false or null (null: only to be compared with)."""
+    """(name, at, first, last, h, settled): anchors that come twice or more, with the starts of their strings. settled: the whole
+    surroundings come elsewhere too; where surroundings differ, one row of each kind has settled false or null (null: only to
+    be compared with)."""
 
     def join(table: pa.Table) -> pa.Table:
-        h, around, name, at = (np.concatenate([np.frombuffer(b, d) for b in table.column(c).to_pylist()]) for c, d in (("h", np.uint64), ("around", np.uint64), ("name", np.int64), ("at", np.uint32)))
-        order = np.lexsort((at, name, around, h))
-        h, around, name, at = h[order], around[order], name[order], at[order]
-
-        def starts(*cols):
-            new = np.ones(len(h), bool)
-            if len(h):
-                new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        types = (np.uint64, np.uint64, np.int64, np.uint32, np.uint16, np.uint16)
+        cols = [np.concatenate([np.frombuffer(b, d) for b in table.column(c).to_pylist()]) for c, d in zip(PACKED, types, strict=True)]
+        order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+        cols = [x[order] for x in cols]
+
+        def starts(*some):
+            new = np.ones(len(some[0]), bool)
+            if len(new):
+                new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in some])
             return new
 
-        new = starts(h, around, name, at)
-        h, around, name, at = h[new], around[new], name[new], at[new]
+        new = starts(*cols[:4])
+        h, around, name, at, back, span = (x[new] for x in cols)
         group, kind = starts(h), starts(h, around)
         in_group, in_kind = np.cumsum(group) - 1, np.cumsum(kind) - 1
-        size, kinds, same = np.bincount(in_group)[in_group], np.bincount(in_group, weights=kind)[in_group], np.bincount(in_kind)[in_kind]
-        settled = (size > 1) & (same > 1)
+        kinds, same = np.bincount(in_group, weights=kind)[in_group], np.bincount(in_kind)[in_kind]
+        settled = same > 1
         compare = (kinds > 1) & kind  # the first of each kind
         rows = np.concatenate([np.flatnonzero(settled), np.flatnonzero(compare)])
         mark = [True] * int(settled.sum()) + [None if x > 1 else False for x in same[compare]]
-        return pa.table({"name": pa.array(name[rows]), "at": pa.array(at[rows].astype(np.int64)), "h": pa.array(h[rows].view(np.int64)), "settled": pa.array(mark, pa.bool_())})
+        at = at.astype(np.int64)
+        first = at - back
+        out = [name, at, first, first + span, h.view(np.int64)]
+        return pa.table({c: pa.array(x[rows]) for c, x in zip(("name", "at", "first", "last", "h"), out, strict=True)} | {"settled": pa.array(mark, pa.bool_())})
 
-    return packed.groupBy("bucket").applyInArrow(join, "name long, at long, h long, settled boolean")
+    return packed.groupBy("bucket").applyInArrow(join, MARKS)
 
 
-def surroundings(texts: DataFrame, marks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def surroundings(texts: DataFrame, marks: DataFrame, buckets: int, length: int) -> DataFrame:
     """The bytes around each anchor that has to be compared, dealt by anchor."""
-    wanted = marks.where("settled is null or not settled").groupBy("name").agg(F.collect_list(F.struct("at", "h")).alias("marks"))
+    wanted = marks.where("settled is null or not settled").groupBy("name").agg(F.collect_list(F.struct("at", "first", "last", "h")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                for m in found:
-                    lo, hi = max(0, m["at"] - (length - gram)), min(len(data), m["at"] + length)
-                    out.append((m["h"] % buckets, name, lo, data[lo:hi]))
+                out += [(m["h"] % buckets, name, m["first"], m["at"] - m["first"], m["last"] - m["first"], data[m["first"] : m["last"] + length]) for m in found]
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["bucket", "name", "lo", "piece"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "name", "first", "anchor", "span", "piece"])
 
     one = texts.groupBy("name").agg(F.first("text").alias("text")).where("text is not null")
-    return one.join(wanted, "name").select("name", "text", "marks").mapInArrow(run, "bucket long, name long, lo long, piece binary")
+    return one.join(wanted, "name").select("name", "text", "marks").mapInArrow(run, "bucket long, name long, first long, anchor int, span int, piece binary")
 
 
 def sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
     """(name, a, b): bytes of texts that strings found in suffix order cover."""
 
     def run(table: pa.Table) -> pa.Table:
-        name, lo, piece = table.column("name").to_numpy(), table.column("lo").to_numpy(), table.column("piece").to_pylist()
-        size = np.array([len(p) for p in piece])
-        buffer = np.frombuffer(b"".join(piece), np.uint8)
-        base = np.cumsum(size) - size
-        n = size - length + 1
-        which = np.repeat(np.arange(len(n)), n)
-        local = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        cls = equal_windows(buffer, base[which] + local, length)
-        at = lo[which] + local
-        # the same place of a text may stand in several pieces; it counts once
-        order = np.lexsort((at, name[which], cls))
-        c, nm, p = cls[order], name[which][order], at[order]
-        new = np.append(True, (c[1:] != c[:-1]) | (nm[1:] != nm[:-1]) | (p[1:] != p[:-1]))
+        name, first = table.column("name").to_numpy(), table.column("first").to_numpy()
+        anchor, span = table.column("anchor").to_numpy().astype(np.int64), table.column("span").to_numpy().astype(np.int64)
+        which, start, c = window_classes(table.column("piece").to_pylist(), anchor, np.zeros(len(span), np.int64), span, length)
+        # only classes with two windows or more matter; the same place of a text may stand in several pieces and counts once
+        many = np.bincount(c)[c] > 1
+        c, nm, p = c[many], name[which[many]], first[which[many]] + start[many]
+        order = np.lexsort((p, nm, c))
+        c, nm, p = c[order], nm[order], p[order]
+        new = np.append(True, (c[1:] != c[:-1]) | (nm[1:] != nm[:-1]) | (p[1:] != p[:-1]))[: len(c)]
         c, nm, p = c[new], nm[new], p[new]
-        twice = np.bincount(c)[c] > 1
+        twice = np.bincount(c)[c] > 1 if len(c) else np.zeros(0, bool)
         nm, p = nm[twice], p[twice]
         order = np.lexsort((p, nm))
         nm, p = nm[order], p[order]
-        start = np.append(True, (nm[1:] != nm[:-1]) | (np.diff(p) > length))[: len(nm)]
-        first = np.flatnonzero(start)
-        last = np.append(first[1:], len(nm)) - 1 if len(first) else first
-        return pa.table({"name": pa.array(nm[first]), "a": pa.array(p[first]), "b": pa.array(p[last] + length)})
+        begin = np.flatnonzero(np.append(True, (nm[1:] != nm[:-1]) | (np.diff(p) > length))[: len(nm)])
+        end = np.append(begin[1:], len(nm)) - 1 if len(begin) else begin
+        return pa.table({"name": pa.array(nm[begin], pa.int64()), "a": pa.array(p[begin], pa.int64()), "b": pa.array(p[end] + length, pa.int64())})
 
     return pieces.groupBy("bucket").applyInArrow(run, "name long, a long, b long")
 
@@ -252,9 +256,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     total = copies.agg(F.sum("copies")).first()[0] or 0
     marks = written(repeated(anchored(named, max(8, -(-total // BUCKET_DOCS)), length, gram)), "marks")
     n_pieces = marks.where("settled is null or not settled").count()
-    pieces = surroundings(named.select("name", "text"), marks, max(1, -(-n_pieces // BUCKET_PIECES)), length, gram)
+    pieces = surroundings(named.select("name", "text"), marks, max(1, -(-n_pieces // BUCKET_PIECES)), length)
     spans = sorted_spans(pieces, length)
-    settled = marks.where("settled").select("name", (F.col("at") - (length - gram)).alias("a"), (F.col("at") + length).alias("b"))
+    settled = marks.where("settled").select("name", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     found = written(settled.unionByName(spans), "spans").groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     both = copies.where("copies > 1").join(found, "name", "full").select("name", "copies", "found")
     return cut(named, both, length)
