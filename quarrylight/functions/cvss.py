@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalar import look_up
@@ -78,23 +80,31 @@ def _round_up(x: Column) -> Column:
     return F.ceil(F.round(x * 10, 6)) / 10
 
 
-def scores(vector: Column) -> Column:
-    """struct(base, impact, exploitability, vector, rating) of a short vector; null for a null vector."""
+def scored(df: DataFrame, vector: str = "vector") -> DataFrame:
+    """df with base, impact, exploitability and rating of a short vector; nulls for a null vector. Parts become columns first, so
+    that no expression is written out more than once."""
     at = F.split(vector, "/")
-
-    def of(i: int, table: dict) -> Column:
-        return look_up(at[i], table)
-
-    changed = at[4] == "C"
-    exploit = 8.22 * of(0, AV) * of(1, AC) * F.when(changed, of(2, PR_CHANGED)).otherwise(of(2, PR)) * of(3, UI)
-    isc = 1 - (1 - of(5, CIA)) * (1 - of(6, CIA)) * (1 - of(7, CIA))
-    impact = F.when(changed, 7.52 * (isc - 0.029) - 3.25 * F.pow(isc - 0.02, 15)).otherwise(6.42 * isc)
-    both = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
-    base = F.when(isc <= 0, 0.0).otherwise(_round_up(F.least(both, F.lit(10.0))))
-    return F.when(
-        vector.isNotNull(),
-        F.struct(base.alias("base"), F.round(F.greatest(impact, F.lit(0.0)), 1).alias("impact"), F.round(exploit, 1).alias("exploitability"), vector.alias("vector"), rating(base).alias("rating")),
-    )
+    parts = {f"_{n}": look_up(at[i], t) for n, i, t in (("av", 0, AV), ("ac", 1, AC), ("p0", 2, PR), ("p1", 2, PR_CHANGED), ("ui", 3, UI), ("c", 5, CIA), ("i", 6, CIA), ("a", 7, CIA))}
+    out = df.withColumns(parts | {"_changed": at[4] == "C"})
+    out = out.withColumns({"_e": 8.22 * F.col("_av") * F.col("_ac") * F.when(F.col("_changed"), F.col("_p1")).otherwise(F.col("_p0")) * F.col("_ui"), "_isc": 1 - (1 - F.col("_c")) * (1 - F.col("_i")) * (1 - F.col("_a"))})
+    isc = F.col("_isc")
+    out = out.withColumn("_imp", F.when(F.col("_changed"), 7.52 * (isc - 0.029) - 3.25 * F.pow(isc - 0.02, 15)).otherwise(6.42 * isc))
+    out = out.withColumn("_sum", F.when(F.col("_changed"), 1.08 * (F.col("_imp") + F.col("_e"))).otherwise(F.col("_imp") + F.col("_e")))
+    out = out.withColumn("base", F.when(isc <= 0, 0.0).otherwise(_round_up(F.least("_sum", F.lit(10.0)))))
+    out = out.withColumns({"impact": F.round(F.greatest("_imp", F.lit(0.0)), 1), "exploitability": F.round("_e", 1), "rating": F.when(F.col("base").isNotNull(), rating(F.col("base")))})
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def score(vector: str) -> tuple[float, float, float, str, str]:
+    """(base, impact, exploitability, vector, rating) of one vector, outside Spark."""
+    av, ac, pr, ui, scope, c, i, a = vector.split("/")
+    changed = scope == "C"
+    e = 8.22 * AV[av] * AC[ac] * (PR_CHANGED if changed else PR)[pr] * UI[ui]
+    isc = 1 - (1 - CIA[c]) * (1 - CIA[i]) * (1 - CIA[a])
+    impact = 7.52 * (isc - 0.029) - 3.25 * (isc - 0.02) ** 15 if changed else 6.42 * isc
+    base = 0.0 if isc <= 0 else math.ceil(round(min(10.0, 1.08 * (impact + e) if changed else impact + e) * 10, 6)) / 10
+    name = next((n for least, n in ((9, "critical"), (7, "high"), (4, "medium"), (0.1, "low")) if base >= least), "none")
+    return base, round(max(impact, 0.0), 1), round(e, 1), vector, name
 
 
 def rating(base: Column) -> Column:

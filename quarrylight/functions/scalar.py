@@ -12,10 +12,7 @@ from ..schema import CONFIDENCES, SEVERITIES
 
 def rank(value: Column, order: Sequence[str]) -> Column:
     """0-based place of an enumeration value; null for others."""
-    out = F.lit(None).cast("int")
-    for i, v in enumerate(order):
-        out = F.when(value == v, i).otherwise(out)
-    return out
+    return look_up(value, {v: i for i, v in enumerate(order)})
 
 
 def severity_rank(value: Column) -> Column:
@@ -27,11 +24,11 @@ def confidence_rank(value: Column) -> Column:
 
 
 def look_up(value: Column, table: Mapping[str, object], default: object = None) -> Column:
-    """Value of a fixed table."""
-    out = F.lit(default)
+    """Value of a small fixed table, as one flat case expression."""
+    out = None
     for k, v in table.items():
-        out = F.when(value == k, F.lit(v)).otherwise(out)
-    return out
+        out = F.when(value == k, F.lit(v)) if out is None else out.when(value == k, F.lit(v))
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
 def entropy(text: Column) -> Column:

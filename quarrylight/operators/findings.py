@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cvss
 from ..functions.scalar import confidence_rank, look_up, severity_rank
-from ..schema import CONFIDENCES, FP_RISKS, SEVERITIES
+from ..schema import CONFIDENCES, CVSS, FP_RISKS, SEVERITIES
 
 #: Test, sample and benchmark code by its path below the root.
 NON_PRODUCTION = r"(?i)(^|/)(tests?|specs?|__tests__|fixtures?|examples?|samples?|mocks?|testdata|e2e|cypress|benchmarks?)/|\.(test|spec|e2e)\.[cm]?[jt]sx?$"
@@ -85,8 +85,10 @@ def not_declared_nearby(graph: DataFrame, declared: DataFrame, band: int = BAND)
 def enrich(findings: DataFrame) -> DataFrame:
     """Category from the weakness and score from the rule, where they are not there yet."""
     vectors = cvss.DEFAULT_VECTORS | {a: cvss.DEFAULT_VECTORS[r] for a, r in VECTOR_ALIASES.items()}
-    score = cvss.scores(look_up(F.col("rule_id"), vectors))
-    return findings.withColumns({"owasp": F.coalesce("owasp", cvss.owasp(F.col("cwe"))), "cvss": F.coalesce("cvss", score)})
+    scores = findings.sparkSession.createDataFrame([(r, cvss.score(v)) for r, v in vectors.items()], f"rule_id string, _cvss {CVSS}")
+    # one row per rule with a default
+    out = findings.join(F.broadcast(scores), "rule_id", "left")
+    return out.withColumns({"owasp": F.coalesce("owasp", cvss.owasp(F.col("cwe"))), "cvss": F.coalesce("cvss", "_cvss")}).drop("_cvss")
 
 
 def classify_sink(sink: Column) -> Column:
