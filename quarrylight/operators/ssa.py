@@ -66,10 +66,13 @@ def frontiers(succ: dict[int, list[int]], idom: dict[int, int]) -> dict[int, set
             preds[s].append(b)
     out: dict[int, set[int]] = {b: set() for b in idom}
     for b in idom:
-        if len(preds[b]) > 1:
+        entry = idom[b] == b  # is entered from outside, too
+        if len(preds[b]) > 1 or entry:
             for p in preds[b]:
-                while p != idom[b]:
+                while entry or p != idom[b]:
                     out[p].add(b)
+                    if p == idom[p]:
+                        break
                     p = idom[p]
     return out
 
