@@ -51,7 +51,7 @@ def of_directory(spark: SparkSession, root: str, extensions: Iterable[str] = (),
     raw = raw.where(~excluded(path, [*EXCLUDED, *exclude], top))
     exts = [e.lower() for e in extensions]
     if exts:
-        raw = raw.where(F.regexp_extract(base, r"(\.[^.]*)$", 1).isin(exts) | base.isin(SPECIAL))
+        raw = raw.where(F.regexp_extract(base, r"(\.[^.]*)$", 1).isin(exts) | base.isin(list(SPECIAL)))
     return raw.select(*_columns(path, F.decode("content", "UTF-8"), F.col("length")))
 
 
