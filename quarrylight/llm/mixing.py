@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 TOKEN = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 #: Target weights; what is not named gets the last value.
@@ -30,6 +32,8 @@ SOURCE_WEIGHTS: dict[str, float] = {"src0": 4.0, "": 1.0}
 #: Leading hex digits of the seeded order that name a bucket (16 ** 3 buckets a leaf).
 BUCKET_DIGITS = 3
 MAX_EPOCHS = 4
+#: Leaves up to which the plan (a hundred bytes a leaf) is broadcast; tasks a leaf is spread over beyond that.
+BROADCAST_LEAVES, SALTS = 50_000, 64
 SEED = 7
 
 
@@ -90,6 +94,16 @@ def order_key(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
 
 
+def by_leaf(rows: DataFrame, plan: DataFrame, n_leaves: int, leaf: list[str]) -> DataFrame:
+    """Join rows with their leaf's line of the plan. A plan of few lines is broadcast after its size is known; a longer one is
+    repeated SALTS times and joined on leaf and salt, so that a leaf with a third of all rows is spread over as many tasks."""
+    if n_leaves <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(plan), leaf)
+    salt = F.pmod(F.xxhash64("doc_id", "l_tokens"), F.lit(SALTS)).cast("int")
+    salted = plan.withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("l_salt", salt).join(salted, [*leaf, "l_salt"]).drop("l_salt")
+
+
 def mix(docs: DataFrame, budget: float | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as its leaf takes it, with l_domain, l_lang, l_source, l_tokens and l_epoch."""
     leaf = ["l_domain", "l_lang", "l_source"]
@@ -101,15 +115,18 @@ def mix(docs: DataFrame, budget: float | None = None, max_epochs: int = MAX_EPOC
         F.when(F.col("supply") > 0, F.floor(F.col("take") / F.col("supply"))).otherwise(1).cast("int").alias("whole"),
         F.when(F.col("supply") > 0, F.col("take") % F.col("supply")).otherwise(0).alias("rest"),
     )
+    plan = written(plan, "plan")
+    n_leaves = plan.count()
     # the epoch that is taken in part has its own order; tokens by bucket of that order
-    part = k.select(*leaf, "doc_id", "l_tokens").join(plan, leaf).where("rest > 0")
+    part = by_leaf(k.select(*leaf, "doc_id", "l_tokens"), plan, n_leaves, leaf).where("rest > 0")
     part = part.select(*leaf, "rest", "l_tokens", F.substring(order_key(seed, F.col("whole")), 1, BUCKET_DIGITS).alias("bucket"))
     sums = part.groupBy(*leaf, "rest", "bucket").agg(F.sum("l_tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*leaf).orderBy("bucket"))
     cuts = sums.withColumn("upto", upto).where("upto > rest").groupBy(*leaf).agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("c"))
     plan = plan.join(cuts.select(*leaf, "c.bucket", "c.room"), leaf, "left").select(*leaf, "whole", "rest", F.col("bucket").alias("cut"), "room")
+    plan = written(plan, "plan")
 
-    d = k.join(plan, leaf)
+    d = by_leaf(k, plan, n_leaves, leaf)
     key = order_key(seed, F.col("whole"))
     bucket = F.substring(key, 1, BUCKET_DIGITS)
     last = F.when(F.col("rest") <= 0, F.lit("out")).when(F.col("cut").isNull() | (bucket < F.col("cut")), "in").when(bucket == F.col("cut"), "cut").otherwise("out")
