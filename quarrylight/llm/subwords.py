@@ -44,7 +44,7 @@ def prepared(text: str | None, shape: Shape) -> str:
     """The text's words, or its distinct words in order of appearance, with one space between."""
     words = ((text or "").lower() if shape.lower else text or "").split()
     if shape.echoes:
-        words = [ECHO if a == b else a for a, b in zip(words, [None, *words[:-1]], strict=True)]
+        words = [ECHO if a == b else a for a, b in zip(words, [None, *words], strict=False)]
     return " ".join(dict.fromkeys(words) if shape.once else words)
 
 
