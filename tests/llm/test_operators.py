@@ -107,10 +107,10 @@ def test_packing_under_every_capacity():
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(1, 100, 500))[::-1]
     for rule in ("norm", "dot"):
-        bins, offsets = packing.place(lengths, 100, 3, 5000.0, (1, 1, 1), rule)
+        bins, offsets = packing.place(lengths, 100, 3, 9900.0, (1, 1, 1), rule)
         for b in np.unique(bins):
             x = lengths[bins == b]
-            assert x.sum() <= 100 and len(x) <= 3 and (x**2).sum() <= max(5000, x.max() ** 2)
+            assert x.sum() <= 100 and len(x) <= 3 and (x**2).sum() <= 9900
     with pytest.raises(ValueError):
         packing.place(np.array([101]), 100, 3, 1e9, (1, 1, 1), "norm")
 
@@ -169,7 +169,7 @@ def test_oracles(spark):
 def test_licenses(spark):
     d = spark.createDataFrame([(1, "x\nReleased under the MIT License.\nMIT license"), (2, "the license of mit"), (3, "Licensed under CC BY-NC 4.0."), (4, "mit\nlicense")], "doc_id long, text string")
     got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in licenses.scan(d).collect()}
-    assert got[1] == (2, 4, 6, "mit", "mit") and got[2] == (0, None, None, "", "") and got[3][4] == "cc-by-nc" and got[4][0] == 1
+    assert got[1] == (2, 4, 6, "mit", "mit") and got[2] == (0, None, None, "", "") and got[3][4] == "cc-by,cc-by-nc" and got[4][0] == 1
 
 
 def test_mixing_serves_siblings_first(spark):
