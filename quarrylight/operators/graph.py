@@ -271,6 +271,13 @@ def taint_paths(g: Builder) -> list[tuple]:
     return found
 
 
+def sanitizers_on(g: Builder, path: tuple) -> list[str]:
+    """Kinds of the sanitizers that the nodes of a path meet."""
+    specs = [(c, re.compile(rx, re.A)) for c, rx in SANITIZER_SPECS]
+    by_id = {n[0]: n for n in g.nodes}
+    return [c for p in path if (c := _first(specs, by_id[p][8]))]
+
+
 def confidence(length: int, source: str) -> str:
     c = "certain" if length <= 2 else "high" if length <= 4 else "medium" if length <= 7 else "low"
     return {"certain": "high", "high": "medium", "medium": "low", "low": "low"}[c] if source == "environment" else c

@@ -20,7 +20,6 @@ MATCHES = (
     "snippet string, recommendation string, cwe string, owasp string, tactic string, technique string, refs array<string>, fp_risk string, engine string, seq bigint"
 )
 NAMES = [x.split()[0] for x in MATCHES.split(", ")]
-CONTEXT_INPUT = re.compile(catalog.REQUEST, re.I | re.A)
 
 
 def applies(rule: catalog.Rule, ext: str, basename: str) -> bool:
@@ -197,6 +196,16 @@ def masked_matches(files: DataFrame, regex: str) -> DataFrame:
     return files.select("file", "ext", "content").mapInArrow(run, "file string, in_code bigint, in_strings bigint, in_comments bigint")
 
 
+def near_input(lines: DataFrame, around: int = 5, source_regex: str | None = None) -> DataFrame:
+    """lines(file, line, text) with near_input: does another line of the file within `around` lines bring request input in?"""
+    from pyspark.sql import Window as W
+
+    hit = F.col("text").rlike("(?i)" + (source_regex or catalog.REQUEST)).cast("int")
+    w = W.partitionBy("file").orderBy("line")
+    before, after = F.max(hit).over(w.rowsBetween(-around, -1)), F.max(hit).over(w.rowsBetween(1, around))
+    return lines.withColumn("near_input", F.coalesce(F.greatest(before, after), F.lit(0)) > 0)
+
+
 def variable_map(lines: DataFrame) -> DataFrame:
     """(file, name, values): what is assigned to each variable, in line order."""
     rx = r"(?:\b(?:const|let|var)\s+)?\b([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*([^=;][^;]*);"

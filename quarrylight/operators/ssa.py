@@ -282,3 +282,17 @@ def resolve_summary(calls: DataFrame, known: DataFrame) -> DataFrame:
     k = known.select(F.element_at(F.split("fn", r"\."), -1).alias("short"), "fn", "params").groupBy("short").agg(F.min_by("params", "fn").alias("params"))
     j = calls.withColumn("short", F.element_at(F.split("callee", r"\."), -1)).join(k, "short", "left")
     return j.select("callee", "idx", F.coalesce(F.element_at("params", F.col("idx").cast("int")) == "propagates", F.lit(True)).alias("passes"))
+
+
+SUMMARIES = "fn string, params map<int,string>, return_tainted boolean, sinks array<string>, pure boolean"
+
+
+def write_summaries(known: DataFrame, path: str) -> None:
+    known.write.mode("overwrite").json(path)
+
+
+def read_summaries(spark, path: str) -> DataFrame:
+    """Summaries of a former run; a missing or broken store counts as empty."""
+    from ..sources.state import read
+
+    return read(spark, path, SUMMARIES, "json")

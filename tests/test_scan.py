@@ -202,3 +202,12 @@ def test_paths(spark, tmp_path):
     assert [r.basename for r in named.collect()] == ["b.js"]
     assert [r.text for r in files.lines(files.of_rows(spark, [("a", "x\n\n")])).orderBy("line").collect()] == ["x", "", ""]
     assert files.of_rows(spark, [("a", "x")]).where(F.length("sha256") == 64).count() == 1
+
+
+def test_near_input(spark):
+    lines = files.lines(files.of_rows(spark, [("a.js", "x\ny = req.body.z\nw\n\n\nv")]))
+    assert [r.line for r in match.near_input(lines, 1).where("near_input").orderBy("line").collect()] == [1, 3]
+    v = match.variable_map(files.lines(files.of_rows(spark, [("a.js", "const a = req.body.x;\nlet b = a;\nb = b + 1;\n")])))
+    assert {r.name: r["values"] for r in v.collect()} == {"a": ["req.body.x"], "b": ["a", "b + 1"]}
+    flat = v.select("file", "name", F.explode("values").alias("value"))
+    assert {r.name: r.chain for r in match.tainted_variables(flat, r"req\.body").collect()} == {"a": ["a"], "b": ["a", "b"]}
