@@ -39,7 +39,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     else:
         chosen = known.orderBy(*order).limit(rows)
     # the sample's bound is what makes the broadcast safe
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["y"], r["text"] or ""))
     return [(r["text"], r["y"]) for r in got]
 

@@ -8,7 +8,8 @@ anchors, and anchors that come once rule out all strings they stand for. Around
 2. anchors whose whole surroundings (all strings with this anchor) come elsewhere settle those strings at once;
 3. of the rest, one surrounding of each kind is dealt to buckets by anchor. There, laid out in words that begin at the anchors,
    its suffixes are sorted by the difference-cover algorithm (sampled triples, recursion on names, merge) and neighbours in
-   suffix order are compared; strings are equal if their whole words and the bytes on both sides of them are.
+   suffix order are compared; strings are equal if their whole words and the bytes on both sides of them are. Anchors with too
+   many surroundings for a task have their strings counted by hash on the cluster instead.
 
 Spans found for a text are united, and every row loses the spans of its text.
 
@@ -34,6 +35,8 @@ GRAM = 64
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Documents whose anchors fill one bucket, and surroundings that are sorted together.
 BUCKET_DOCS, BUCKET_PIECES = 2000, 8000
+#: Different surroundings of one anchor up to which they are sorted in one task.
+ONE_TASK = 50_000
 PACKED = ("h", "around", "name", "at", "back", "span")
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -174,7 +177,7 @@ def repeated(packed: DataFrame) -> DataFrame:
 
 def surroundings(texts: DataFrame, marks: DataFrame, buckets: int, length: int) -> DataFrame:
     """The bytes around each anchor that has to be compared, dealt by anchor."""
-    wanted = marks.where("settled is null or not settled").groupBy("name").agg(F.collect_list(F.struct("at", "first", "last", "h")).alias("marks"))
+    wanted = marks.groupBy("name").agg(F.collect_list(F.struct("at", "first", "last", "h")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,6 +193,33 @@ def surroundings(texts: DataFrame, marks: DataFrame, buckets: int, length: int)
     return one.join(wanted, "name").select("name", "text", "marks").mapInArrow(run, "bucket long, name long, first long, anchor int, span int, piece binary")
 
 
+def counted_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """What sorted_spans gives, for anchors with more surroundings than a task should sort: every string is named by two 64-bit
+    hashes and strings are counted on the cluster, so that one anchor's strings are spread over all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            names, at, h1, h2 = [], [], [], []
+            for name, first, span, piece in zip(*(batch.column(c).to_pylist() for c in ("name", "first", "span", "piece")), strict=True):
+                start = np.arange(span + 1)
+                hasher.load(piece)
+                a = hasher.runs(start, start + length)
+                hasher.load(bytes(255 - x for x in piece))
+                names.append(np.full(span + 1, name, np.int64))
+                at.append(first + start)
+                h1.append(a.view(np.int64))
+                h2.append(hasher.runs(start, start + length).view(np.int64))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (names, at, h1, h2)], names=["name", "at", "h1", "h2"])
+
+    w = pieces.select("name", "first", "span", "piece").mapInArrow(run, "name long, at long, h1 long, h2 long")
+    # a string is repeated if it stands at two places or more; least and greatest place tell without a list
+    place = F.struct("name", "at")
+    twice = w.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h1", "h2")
+    return w.join(twice, ["h1", "h2"], "left_semi").select("name", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+
+
 def sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
     """(name, a, b): bytes of texts that strings found in suffix order cover."""
 
@@ -255,9 +285,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     copies = written(named.groupBy("name").agg(F.count("*").alias("copies")), "copies")
     total = copies.agg(F.sum("copies")).first()[0] or 0
     marks = written(repeated(anchored(named, max(8, -(-total // BUCKET_DOCS)), length, gram)), "marks")
-    n_pieces = marks.where("settled is null or not settled").count()
-    pieces = surroundings(named.select("name", "text"), marks, max(1, -(-n_pieces // BUCKET_PIECES)), length)
-    spans = sorted_spans(pieces, length)
+    compare = marks.where("settled is null or not settled")
+    n_pieces, texts = compare.count(), named.select("name", "text")
+    buckets = max(1, -(-n_pieces // BUCKET_PIECES))
+    crowded = compare.groupBy("h").count().where(F.col("count") > ONE_TASK).select("h")
+    spans = sorted_spans(surroundings(texts, compare.join(crowded, "h", "left_anti"), buckets, length), length)
+    if crowded.limit(1).count():
+        spans = spans.unionByName(counted_spans(surroundings(texts, compare.join(crowded, "h", "left_semi"), buckets, length), length))
     settled = marks.where("settled").select("name", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     found = written(settled.unionByName(spans), "spans").groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     both = copies.where("copies > 1").join(found, "name", "full").select("name", "copies", "found")

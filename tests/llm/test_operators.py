@@ -232,7 +232,9 @@ def test_suffix_order():
         assert sorted(order.tolist()) == list(range(len(s))) and heads == sorted(heads)
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("one_task", [50_000, 1])
+def test_repeats(spark, one_task, monkeypatch):
+    monkeypatch.setattr(substrings, "ONE_TASK", one_task)
     rnd = random.Random(4)
 
     def noise(n):
