@@ -8,7 +8,7 @@ positional bounds become candidates.
 A shingle held by many nodes (one large group of near copies, say) is not expanded into all pairs. Its nodes are compared with
 the group's least node first. When components of those links are known, only groups that still hold nodes of several components
 are looked at again, and only pairs across components are added, after a bound on how far two sets differ (the parity of their
-shingles on 2 ** k places). Pairs inside a component cannot change the result, so no link
+shingles on 2 ** k places): each node's nearest first, since they join most components, then all that are left. Pairs inside a component cannot change the result, so no link
 between components is lost and nothing is capped.
 
 Candidates are verified on both whole texts, each distinct pair once; a suffix filter on the tails gives up early.
@@ -40,6 +40,8 @@ CHUNK = 4096
 SMALL_GROUP = 16
 #: Places of a set's parity.
 LEAST_MOST_BITS = (1024, 65536)
+#: Rounds in which only each node's so many nearest pairs of a group are verified, before all that are left are.
+NEAREST_ROUNDS = (2, 4)
 #: Documents whose prefixes fill one bucket.
 BUCKET_DOCS = 2000
 
@@ -260,9 +262,9 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     return _mapped(two.select("a", "b", "text_a", "text_b"), check, "a long, b long")
 
 
-def cross(table: pa.Table) -> pa.Table:
-    """Pairs of one group's nodes in different components that pass the length, positional and parity filters. The least node
-    has been compared with all others."""
+def cross(table: pa.Table, nearest: int | None) -> pa.Table:
+    """Pairs of one group's nodes in different components that pass the length, positional and parity filters; of each node's,
+    the `nearest` by parity, or all. The least node has been compared with all others."""
     t = table.sort_by([("size", "ascending"), ("node", "ascending")])
     node, n, at, c = (t.column(k).to_numpy() for k in ("node", "size", "at", "component"))
     marks = [np.frombuffer(b, np.uint64) for b in t.column("parity").to_pylist()]
@@ -286,14 +288,17 @@ def cross(table: pa.Table) -> pa.Table:
         if len(j):
             m = at_level(int(words[i]))
             apart = np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64)
-            j = j[(NUM + DEN) * apart <= (DEN - NUM) * (n[i] + n[j])]
+            close = (NUM + DEN) * apart <= (DEN - NUM) * (n[i] + n[j])
+            j, apart = j[close], apart[close]
+            if nearest is not None and len(j) > nearest:
+                j = j[np.argpartition(apart, nearest - 1)[:nearest]]
             left.append(np.minimum(node[i], node[j]))
             right.append(np.maximum(node[i], node[j]))
     none = np.empty(0, np.int64)
     return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
 
 
-def across(met: DataFrame, labels: DataFrame, parities: DataFrame) -> DataFrame:
+def across(met: DataFrame, labels: DataFrame, parities: DataFrame, nearest: int | None = None) -> DataFrame:
     """Pairs of large groups whose nodes are in different components so far."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +312,7 @@ def across(met: DataFrame, labels: DataFrame, parities: DataFrame) -> DataFrame:
     m = m.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = m.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
     one = parities.groupBy("node").agg(F.first("parity").alias("parity"))
-    return m.join(mixed, "grp", "left_semi").join(one, "node").groupBy("grp").applyInArrow(cross, "a long, b long").distinct()
+    return m.join(mixed, "grp", "left_semi").join(one, "node").groupBy("grp").applyInArrow(lambda t: cross(t, nearest), "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -321,10 +326,19 @@ def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
     pairs = written(met.where("a is not null").select("a", "b").distinct(), "pairs")
     links = written(verify(pairs, docs, size), "links")
     labels = components(links)
-    more = written(across(met, labels, profiled.where("node is not null").select("node", "parity")), "more")
-    if more.limit(1).count():
-        links = links.union(written(verify(more, docs, size), "links"))
-        labels = components(links)
+    parities = profiled.where("node is not null").select("node", "parity")
+    # first each node's nearest pairs, which join most components; what is then left across components is verified in full
+    for nearest in (*NEAREST_ROUNDS, None):
+        more = written(across(met, labels, parities, nearest).join(pairs, ["a", "b"], "left_anti"), "more")
+        if not more.limit(1).count():
+            if nearest is None:
+                break
+            continue
+        found = written(verify(more, docs, size), "links")
+        pairs = pairs.union(more)
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = components(links)
     nodes = of.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
