@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 MAX_ROUNDS = 64
 
@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     Every round is written to the shared folder, which cuts lineage."""
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = written(labels, "labels")
+    kept = labels = written(labels, "labels")
     for _ in range(MAX_ROUNDS):
         seen = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         low = labels.join(seen, "node").select("node", F.least("component", "c").alias("component"))
@@ -24,7 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         # the label's own label may be lower still; a label is always a node
         new = written(labels.select("node", F.col("component").alias("old")).join(low, "node").join(up, "component").select("node", "old", F.col("root").alias("component")), "labels")
         changed = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
+        discard(kept)
+        kept, labels = new, new.select("node", "component")
         if not changed:
+            discard(edges)
             return labels
     raise RuntimeError("components did not settle")
