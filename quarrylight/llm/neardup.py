@@ -41,7 +41,7 @@ SMALL_GROUP = 16
 #: Places of a set's parity.
 LEAST_MOST_BITS = (1024, 65536)
 #: Rounds in which only each node's so many nearest pairs of a group are verified, before all that are left are.
-NEAREST_ROUNDS = (2, 4)
+NEAREST_ROUNDS = (4,)
 #: Documents whose prefixes fill one bucket.
 BUCKET_DOCS = 2000
 
