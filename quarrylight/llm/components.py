@@ -7,26 +7,36 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
-MAX_ROUNDS = 64
+
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> (node, component): the least node that can be reached. Each round takes the least label among a node
-    and its neighbours and then follows labels once more, so the rounds grow with the logarithm of a chain's length.
-    Every round is written to the shared folder, which cuts lineage."""
-    edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    kept = labels = written(labels, "labels")
-    for _ in range(MAX_ROUNDS):
-        seen = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        low = labels.join(seen, "node").select("node", F.least("component", "c").alias("component"))
-        up = low.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        # the label's own label may be lower still; a label is always a node
-        new = written(labels.select("node", F.col("component").alias("old")).join(low, "node").join(up, "component").select("node", "old", F.col("root").alias("component")), "labels")
-        changed = new.where("component <> old").limit(1).count()
-        discard(kept)
-        kept, labels = new, new.select("node", "component")
-        if not changed:
-            discard(edges)
-            return labels
-    raise RuntimeError("components did not settle")
+    """links(a, b) -> (node, component): the least node that can be reached. Each round hooks every node that has a lower
+    neighbour to the least one, follows the hooks to their ends by doubling, and puts the ends in the nodes' places. A link then
+    joins two ends or falls away, so links always lie between whole regions. A round with a link removes at least one node, and
+    with labels in random order a fixed share of them; rounds go on until no link is left. The least node of a component is never
+    hooked, so it is the one that remains. Every round is written to the shared folder, which cuts lineage."""
+    edges = written(_pairs(links), "edges")
+    labels = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("component")), "labels")
+    while edges.limit(1).count():
+        hooks = written(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks")
+        moved = True
+        while moved:
+            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+            new = written(hooks.select("node", "root").join(up, "root", "left").select("node", F.col("root").alias("old"), F.coalesce("higher", "root").alias("root")), "hooks")
+            moved = new.where("old <> root").limit(1).count()
+            discard(hooks)
+            hooks = new
+        at_a = hooks.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+        at_b = hooks.select(F.col("node").alias("b"), F.col("root").alias("root_b"))  # every b has a lower neighbour
+        ends = edges.join(at_b, "b").join(at_a, "a", "left").select(F.coalesce("root_a", "a").alias("a"), F.col("root_b").alias("b"))
+        fewer = written(_pairs(ends), "edges")
+        at = hooks.select(F.col("node").alias("component"), "root")
+        new = written(labels.join(at, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        for old in (edges, labels, hooks):
+            discard(old)
+        edges, labels = fewer, new
+    discard(edges)
+    return labels

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chroma, classify, entries, fertility, licenses, mixing, neardup, packing, pii, substrings, suffixes, tokens
+from quarrylight.llm import chroma, classify, components, entries, fertility, licenses, mixing, neardup, packing, pii, substrings, suffixes, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -222,6 +222,25 @@ def test_jaccard_join_at_the_threshold(spark):
     assert [got[i] for i in range(3)] == [c for _, _, c in brute_components(texts)]
 
 
+def test_jaccard_join_of_a_long_chain(spark):
+    words = [f"w{i}" for i in range(4 * 1000 + 36)]  # 36 shingles each; neighbours share 32 of 40, others at most 28 of 44
+    texts = [(i, " ".join(words[4 * i : 4 * i + 40])) for i in range(1000)]
+    got = neardup.linked(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == 1000 and {(r.n_shingles, r.component_id) for r in got} == {(36, 0)}
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(7)
+    chain = list(range(1000, 1300))  # ascending: one hook chain of full length
+    pairs = [*zip(chain, chain[1:]), *((rnd.randrange(600), rnd.randrange(600)) for _ in range(350)), (700, 700), (5000, 4000)]
+    least = {x: x for p in pairs for x in p}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert dict(map(tuple, components.components(spark.createDataFrame(pairs, "a long, b long")).collect())) == least
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_suffix_order():
     rnd = random.Random(3)
     for _ in range(400):
