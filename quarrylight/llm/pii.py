@@ -1,11 +1,11 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, digit-dot-digit, digit pairs, plus-digit, scheme marks and identifier
-cues. Each anchor is expanded to the maximal run of characters its kind may hold, and a small parser finds and validates the
+One Aho-Corasick pass over a text in lower case finds anchors: at-signs, digit-dot-digit, digit pairs, plus-digit, scheme marks and
+identifier cues. Each anchor is expanded to the maximal run of characters its kind may hold, and a small parser finds and validates the
 spans of that run. A match of a kind never leaves such a run, so the spans are those of a leftmost scan of the whole text.
 
-Kinds: email, ip, card, phone (base); url_user (credentials before a host in a URL), iban (mod 97), account and ssn
-(numbers after an identifier cue). Added kinds never remove base spans.
+Kinds: email, ip, card, phone (base); url_user (credentials before a host in a URL), iban (two capitals before a digit
+pair, mod 97), account and ssn (numbers after an identifier cue in any case). Added kinds never remove base spans.
 
 Defined results: null text counts as empty and has no spans; repeated rows are scanned one by one; an empty table gives no rows;
 texts of any length are scanned whole; other columns are ignored.
@@ -26,7 +26,8 @@ KINDS = ("email", "ip", "card", "phone", "url_user", "iban", "account", "ssn")
 BASE = KINDS[:4]
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 DIGITS = "0123456789"
-ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + DIGITS
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALNUM = CAPITALS + CAPITALS.lower() + DIGITS
 #: Characters of the run an anchor of the kind expands to.
 RUN = {"email": ALNUM + "._%+-@", "ip": DIGITS + ".", "card": DIGITS + " -", "url_user": "".join(map(chr, range(33, 127))).translate({ord(c): None for c in "\"'<>"})}
 PARSE = {
@@ -40,7 +41,18 @@ PARSE = {
     "ssn": re.compile(r"[ \t]*(?:number|no\.?|#)?[ \t]*[:=#]?[ \t]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I),
 }
 #: Words before an identifier (lower case).
-CUES = {"iban": "iban", "account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account", "ssn": "ssn", "social security": "ssn"}
+CUES = {"account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account", "ssn": "ssn", "social security": "ssn"}
+
+#: Characters of a country's IBANs (ISO 13616). Others are taken as far as their groups go.
+IBAN_CHARS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "AE BG BH CR DE GE IE ME RS VA",
+        23: "GB GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 
 
 def luhn(digits: str) -> bool:
@@ -81,9 +93,7 @@ def automaton():
             anchors[f"{d}.{e}"] = "ip"
             for gap in ("", " ", "-"):
                 anchors[f"{d}{gap}{e}"] = "card"
-    for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            anchors[form] = kind
+    anchors.update(CUES)
     for k, v in anchors.items():
         a.add_word(k, (v, len(k)))
     a.make_automaton()
@@ -111,11 +121,35 @@ def run_around(text: str, at: int, chars: str) -> tuple[int, int]:
     return lo, hi
 
 
+def iban_at(text: str, at: int) -> int | None:
+    """Where the valid IBAN that starts at `at` ends: after as many characters as its country's have, or after all groups."""
+    m = PARSE["iban"].match(text, at)
+    if not m:
+        return None
+    places = [i for i in range(at, m.end()) if text[i] != " "]
+    n = IBAN_CHARS.get(text[at : at + 2], len(places))
+    ends = [places[n - 1] + 1] if n <= len(places) else []
+    for end in (*(e for e in ends if text[e : e + 1] not in ALNUM or e == len(text)), m.end()):
+        if valid("iban", text[at:end]):
+            return end
+    return None
+
+
+def lowered(text: str) -> str:
+    """ASCII letters in lower case; every character keeps its place."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
     """Valid spans by kind, each kind's in order and without overlap."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)  # up to here the kind's runs are parsed
-    for end, (kind, length) in anchors.iter(text):
+    for end, (kind, length) in anchors.iter(lowered(text)):
+        if kind == "card" and length == 2 and end - 3 >= done["iban"] and text[end - 3] in CAPITALS and text[end - 2] in CAPITALS:
+            stop = iban_at(text, end - 3)
+            if stop:
+                out["iban"].append((end - 3, stop))
+                done["iban"] = stop
         if end < done[kind]:
             continue
         if kind == "phone":
@@ -129,9 +163,9 @@ def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
             done[kind] = hi
             out[kind] += [m.span() for m in PARSE[kind].finditer(text, lo, hi) if valid(kind, m[0])]
         elif end + 1 == len(text) or not text[end + 1].isalpha():
-            m = PARSE[kind].search(text, end + 1, end + 64) if kind == "iban" else PARSE[kind].match(text, end + 1)
-            if m and valid(kind, m[m.re.groups and 1]):
-                out[kind].append(m.span(m.re.groups and 1))
+            m = PARSE[kind].match(text, end + 1)
+            if m and valid(kind, m[1]):
+                out[kind].append(m.span(1))
                 done[kind] = m.end()
     return out
 

@@ -155,6 +155,23 @@ def test_pii_is_a_leftmost_scan():
     assert pii.masked("mail a@b.cd now", pii.find("mail a@b.cd now", a)) == "mail <EMAIL> now"
 
 
+def test_pii_cues_in_any_case_and_every_iban():
+    a = pii.automaton()
+
+    def said(text, kind):
+        return [text[i:j] for i, j in pii.find(text, a)[kind]]
+
+    for cue in ("Social Security number", "SOCIAL security no.", "sSn:", "Ssn"):
+        assert said(f"İ {cue} 123-45-6789", "ssn") == ["123-45-6789"], cue
+    assert said("AccounT 12345678", "account") == ["12345678"]
+    de, gb, es = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "ES91 2100 0418 4502 0005 1332"
+    assert said(f"IBAN of the account holder at the Frankfurt branch, which is in the old town by the river, is {de}", "iban") == [de]
+    assert said(f"IBAN: {de}, or {gb}", "iban") == [de, gb]
+    assert said(f"IBAN: DE88 3704 0044 0532 0130 00, no: {gb}", "iban") == [gb]
+    assert said(f"{es} ABCD and {de.replace(' ', '')}.", "iban") == [es, de.replace(" ", "")]
+    assert said(de, "iban") == [de] and said(de + "X", "iban") == [] and said("DE89", "iban") == []
+
+
 def test_oracles(spark):
     from tests.test_queries import TABLES, canonical
 
