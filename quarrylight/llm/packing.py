@@ -12,6 +12,7 @@ come; a null doc_id stays null; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
-from .tokens import ByteBpe, vocabulary_path
+from .tokens import ByteBpe, added_tokens, vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -28,11 +29,13 @@ GROUP_DOCS = 16_384
 
 
 def pieces(docs: DataFrame, vocabulary: str, limit: int = 1024, end_id: int = 2) -> DataFrame:
-    """Cut every document's ids into pieces of at most `limit` tokens."""
+    """Cut every document's ids into pieces of at most `limit` tokens. Added tokens are those of the library's file of the same
+    name (*.json), where there is one."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def start():
-        bpe = ByteBpe(vocabulary)
+        beside = Path(vocabulary).with_suffix(".json")
+        bpe = ByteBpe(vocabulary, added_tokens(str(beside)) if beside.exists() else None)
 
         def work(columns):
             for doc_id, text in zip(*columns, strict=True):

@@ -41,10 +41,23 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary file of the library (*.json) with their ids. Only plain ones are known here."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    odd = [t["content"] for t in found if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that take more than their own characters: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 class ByteBpe(dict):
-    """piece -> its ids as little-endian uint32, filled on demand. `path`: a vocabulary file of ranks (*.tiktoken)."""
+    """piece -> its ids as little-endian uint32, filled on demand. `path`: a vocabulary file of ranks (*.tiktoken). `added`: tokens
+    that are cut out of a text before the merges, and their ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         super().__init__()
         import public_tokenizers
         import tiktoken
@@ -53,6 +66,9 @@ class ByteBpe(dict):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self._core = self.encoding._core_bpe
+        self.added = {a: i.to_bytes(4, "little") for a, i in (added or {}).items()}
+        # of those that start at one place the longest is taken
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -69,6 +85,13 @@ class ByteBpe(dict):
 
     def ids(self, text: str) -> bytes:
         """All ids of a text, four bytes each."""
+        if self.cut is None:
+            return self.merged(text)
+        # the parts between added tokens stand at even places
+        return b"".join([self.added[part] if k % 2 else self.merged(part) for k, part in enumerate(self.cut.split(text))])
+
+    def merged(self, text: str) -> bytes:
+        """Ids of a text or part without added tokens."""
         if BEYOND_LATIN.search(text):
             return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, LATIN_PIECES.findall(text)))

@@ -88,6 +88,24 @@ def test_pieces_are_the_tokenizer_s():
         assert np.frombuffer(bpe.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_are_the_tokenizer_s(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    bpe = tokens.ByteBpe(tokens.vocabulary_path("byte_bpe_50k.tiktoken"), tokens.added_tokens(path))
+    assert np.frombuffer(bpe.ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    rnd = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["a", " ", "  ", "\n", "'", "12", "é", "мир", "<|endoftext|>", "<|", "|>", "endoftext", "中文"]) for _ in range(rnd.randint(0, 10)))
+        assert np.frombuffer(bpe.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    text = "one <|endoftext|>two " * 300
+    ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
+    parts = packing.best_fit(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("piece").collect()
+    assert sum(p.length for p in parts) * 4 == len(ids)
+    assert all(p.ids_crc32 == zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)]) for p in parts)
+
+
 def test_packing(docs):
     got = packing.best_fit(docs).toPandas()
     bpe = tokens.ByteBpe(tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
