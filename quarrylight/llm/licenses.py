@@ -1,6 +1,7 @@
 """License scan as an exact set-similarity join in DataFrame operations only.
 
-Every line of every text is a block, every template a set of words. A block meets a template when it holds at least `threshold`
+Every line of every text is a block, every template a set of words. So is, in texts of several lines, every run of twice the longest
+template's words that starts at a multiple of its length: a template that is wrapped over lines lies whole in one of them. A block meets a template when it holds at least `threshold`
 of the template's words. Template words are ordered by how many documents hold them, rarest first, counted over the whole
 corpus; the join runs on the words of the prefixes that a match must share, keeps pairs that pass the length and positional
 bounds, and verifies each pair once. The template side is a fixed list, so what is broadcast is bounded by that list.
@@ -71,6 +72,13 @@ def templates(threshold: float, chosen: list[tuple[str, str]] | None = None) ->
     return out
 
 
+def _runs(lines: Column, longest: int) -> Column:
+    """Runs of 2 * longest words of a text's lines, a step of `longest` apart; none where there is one line."""
+    words = F.flatten(lines)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - longest, F.lit(1)), F.lit(longest))
+    return F.when(F.size(lines) > 1, F.transform(starts, lambda i: F.slice(words, i, 2 * longest))).otherwise(F.array().cast("array<array<string>>"))
+
+
 def document_frequency(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many documents each of the given words stands; as many rows as words reach the driver."""
     text = F.translate(F.col("text"), UPPER, LOWER)
@@ -95,12 +103,13 @@ def block_matches(docs: DataFrame, threshold: float = THRESHOLD, chosen: list[tu
     prefixes = F.broadcast(spark.createDataFrame(index, "rank int, tid int, label string, t_at int, t_size int, need int, t_ranks array<int>"))
     rank_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
 
-    lines = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(F.translate("text", UPPER, LOWER), "\n")).alias("line_no", "line")
-    )
-    blocks = lines.select("doc_id", "text_key", "line_no", F.array_distinct(F.filter(_words(F.col("line")), lambda w: w.isin(vocabulary))).alias("words"))
+    split = F.split(F.translate("text", UPPER, LOWER), "\n")
+    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(split, _words).alias("lines"))
+    longest = max(len(sentence.split()) for _, sentence in chosen or TEMPLATES)
+    blocks = lines.select("doc_id", "text_key", F.posexplode(F.concat("lines", _runs(F.col("lines"), longest))).alias("block_no", "words"))
+    blocks = blocks.select("doc_id", "text_key", "block_no", F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))).alias("words"))
     blocks = blocks.where((F.size("words") >= least) & F.arrays_overlap("words", F.array(*map(F.lit, leading))))
-    blocks = blocks.select("doc_id", "text_key", "line_no", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w))).alias("ranks"))
+    blocks = blocks.select("doc_id", "text_key", "block_no", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w))).alias("ranks"))
     tokens = blocks.select("*", F.size("ranks").alias("size"), F.posexplode("ranks").alias("at", "rank"))
     near = tokens.join(prefixes, "rank").where(
         (F.col("size") >= F.col("need"))  # length

@@ -207,6 +207,22 @@ def test_licenses(spark):
     assert got[1] == (2, 4, 6, "mit", "mit") and got[2] == (0, None, None, "", "") and got[3][4] == "cc-by,cc-by-nc" and got[4][0] == 1
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    rnd = random.Random(9)
+    rows_ = []
+    for k, (label, sentence) in enumerate(licenses.TEMPLATES):
+        for lead in (0, 7, 19, 20, 33, 61):
+            text = " ".join([*(f"word{rnd.randint(0, 999)}" for _ in range(lead)), sentence, *("end" for _ in range(30))])
+            for width in (24, 60, 72):
+                rows_.append((len(rows_), "\n * ".join(textwrap.wrap(text.capitalize(), width)), label))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows_, "doc_id long, text string, label string")).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score == 1.0 for k, _, label in rows_)
+    far = "permission is hereby granted free of charge to any person\n" + "word " * 60 + "\nobtaining a copy of this software and associated documentation files"
+    assert licenses.scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first().labels == ""
+
+
 def test_mixing_serves_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("books", "de", "c", 1000)], "domain string, lang string, source string, supply long")
     take = {r.source: r.take for r in mixing.allocate(leaves, budget=700.0, max_epochs=1).collect()}
