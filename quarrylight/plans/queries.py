@@ -530,6 +530,13 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", html_escaped(F.substring("html", 1, 80)).alias("escaped"))
 
 
+@query("SELECT page_id, length(e) AS n_chars, sha256(e) AS escaped_sha256 FROM (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS e FROM pages)")
+def html_escape_pages(spark, d):
+    """Whole pages; html_escape keeps its declared rows, the first 80 characters."""
+    p = table(spark, d, "pages").select("page_id", html_escaped(F.col("html")).alias("e"))
+    return p.select("page_id", F.length("e").cast("bigint").alias("n_chars"), F.sha2(F.col("e"), 256).alias("escaped_sha256"))
+
+
 @query()
 def rule_summary(spark, d):
     from ..operators import catalog

@@ -45,3 +45,15 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_html_escape_of_whole_pages(spark, tmp_path):
+    import hashlib
+    import html
+
+    pages = [(1, "x" * 200 + "<a href=\"b\">'c' & d</a>"), (2, None), (3, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.n_chars, r.escaped_sha256) for r in QUERIES["html_escape_pages"](spark, str(tmp_path)).collect()}
+    for k, text in pages:
+        e = text and html.escape(text).replace("&#x27;", "&#39;")
+        assert got[k] == ((None, None) if e is None else (len(e), hashlib.sha256(e.encode()).hexdigest()))
