@@ -126,6 +126,19 @@ def generic_secret_literals(spark, d):
     return s.where("entropy >= 4.0").select("file", "value", F.round("entropy", 5).alias("entropy"))
 
 
+@query(
+    f"""WITH f AS (SELECT 'page/' || page_id || '.html' AS file, html AS content FROM pages UNION ALL SELECT 'doc/' || doc_id || '.txt', text FROM documents), l AS (SELECT file, unnest(regexp_extract_all(content, '{_LITERAL_RE}')) AS q FROM f),
+v AS (SELECT row_number() OVER () AS k, file, substr(substr(q, 2, len(q) - 2), 1, 200) AS value FROM l), c AS (SELECT k, file, value FROM v WHERE len(value) BETWEEN 16 AND 512),
+ch AS (SELECT k, x, count(*) AS n FROM (SELECT k, unnest(string_split(value, '')) AS x FROM c) WHERE x <> '' GROUP BY k, x), e AS (SELECT k, -sum(n / len(value) * log2(n / len(value))) AS h FROM ch JOIN c USING (k) GROUP BY k)
+SELECT file, value, round(h, 5) AS entropy FROM c JOIN e USING (k) WHERE h >= 4.0"""
+)
+def generic_secret_literals_docs(spark, d):
+    """Pages and documents; generic_secret_literals keeps its declared rows, those of pages."""
+    files = page_files(spark, d).unionByName(doc_files(spark, d))
+    s = secrets.scored(secrets.literals(files).where((F.length("value") >= secrets.LEAST) & (F.length("value") <= secrets.MOST)))
+    return s.where("entropy >= 4.0").select("file", "value", F.round("entropy", 5).alias("entropy"))
+
+
 _STOP = "['" + "','".join(__import__("quarrylight.functions.scalar", fromlist=["STOP_WORDS"]).STOP_WORDS) + "']"
 
 
@@ -138,6 +151,19 @@ def natural_language_turns(spark, d):
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", is_prose(F.col("text")).alias("prose"))
 
 
+@query(
+    f"""WITH b AS (SELECT 'doc/' || doc_id AS file, text FROM documents UNION ALL SELECT 'turn/' || conv_id || '/' || turn, text FROM conversations),
+t AS (SELECT file, text, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '') AS words FROM b WHERE text IS NOT NULL),
+s AS (SELECT *, len(list_filter(words, lambda w: list_contains({_STOP}, w))) AS known, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 1.0 / greatest(len(text), 1) AS letters FROM t)
+SELECT file, CASE WHEN len(words) < 3 THEN false WHEN known >= 2 THEN true ELSE contains(text, ' ') AND letters > 0.6 AND letters < 0.9 END AS prose FROM s"""
+)
+def natural_language_docs(spark, d):
+    """Documents and conversations; natural_language_turns keeps its declared rows, those of conversations."""
+    docs = table(spark, d, "documents").select(F.format_string("doc/%d", "doc_id").alias("file"), "text")
+    turns = table(spark, d, "conversations").select(F.format_string("turn/%d/%d", "conv_id", "turn").alias("file"), "text")
+    return docs.unionByName(turns).where("text is not null").select("file", is_prose(F.col("text")).alias("prose"))
+
+
 @query(f"WITH {_HITS} SELECT file, CAST(line AS INT) AS line, rule_id, CAST(n AS INT) AS n FROM hits")
 def pattern_match_docs(spark, d):
     return doc_hits(spark, d).select("file", "line", "rule_id", "n")
@@ -469,6 +495,17 @@ def points_to_fixpoint(spark, d):
     return ssa.points_to(c.unionByName(a).distinct())
 
 
+@query(
+    """WITH RECURSIVE copy(src, dst) AS (SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem), addr(var, alloc) AS (SELECT DISTINCT 'p' || p_partkey, 'b' || p_brand FROM part),
+pts(var, alloc) AS (SELECT var, alloc FROM addr UNION SELECT alloc, alloc FROM addr UNION SELECT dst, alloc FROM pts JOIN copy ON src = var) SELECT var, alloc FROM pts"""
+)
+def points_to_all_lines(spark, d):
+    """Every line item's constraint; points_to_fixpoint keeps its declared rows, those of first line numbers."""
+    c = table(spark, d, "lineitem").select(F.lit("copy").alias("kind"), F.format_string("s%d", "l_suppkey").alias("lhs"), F.format_string("p%d", "l_partkey").alias("rhs"))
+    a = table(spark, d, "part").select(F.lit("addr").alias("kind"), F.format_string("p%d", "p_partkey").alias("lhs"), F.concat(F.lit("b"), "p_brand").alias("rhs"))
+    return ssa.points_to(c.unionByName(a).distinct())
+
+
 def _blocks(spark):
     return spark.createDataFrame([("f", 0, [1, 2]), ("f", 1, [3]), ("f", 2, [3]), ("f", 3, [4, 0]), ("f", 4, []), ("g", 0, [1]), ("g", 1, [1, 2]), ("g", 2, [])], "fn string, block int, succ array<int>")
 

@@ -57,3 +57,19 @@ def test_html_escape_of_whole_pages(spark, tmp_path):
     for k, text in pages:
         e = text and html.escape(text).replace("&#x27;", "&#39;")
         assert got[k] == ((None, None) if e is None else (len(e), hashlib.sha256(e.encode()).hexdigest()))
+
+
+def test_queries_over_every_listed_table(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    secret = "aB3dE5gH7jK9mN1pQ2rS4tU6"
+    put("documents", [(1, f'x = "{secret}"'), (2, "this is the text of a document"), (3, None)], "doc_id long, text string")
+    put("pages", [(1, f"<a b='{secret}'>")], "page_id long, html string")
+    put("conversations", [(1, 2, "x y")], "conv_id long, turn long, text string")
+    put("lineitem", [(1, 5, 1), (2, 6, 3)], "l_partkey long, l_suppkey long, l_linenumber int")
+    put("part", [(1, "A"), (2, "B")], "p_partkey long, p_brand string")
+    got = {n: {tuple(r) for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("generic_secret_literals_docs", "natural_language_docs", "points_to_all_lines")}
+    assert {r[:2] for r in got["generic_secret_literals_docs"]} == {("doc/1.txt", secret), ("page/1.html", secret)}
+    assert {("doc/2", True), ("turn/1/2", False)} <= got["natural_language_docs"] and len(got["natural_language_docs"]) == 3
+    assert ("s6", "bB") in got["points_to_all_lines"]
