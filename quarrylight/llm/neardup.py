@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -315,8 +316,8 @@ def across(met: DataFrame, labels: DataFrame, parities: DataFrame, nearest: int
     return m.join(mixed, "grp", "left_semi").join(one, "node").groupBy("grp").applyInArrow(lambda t: cross(t, nearest), "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Per document: doc_id, n_shingles and the smallest doc_id reachable by links."""
+def grouped(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """Per document doc_id, node and n; per node its least doc_id and its component."""
     spark = docs.sparkSession
     profiled = written(profile(docs, size), "profile")
     sketch = spark.sparkContext.broadcast(sketch_of(profiled))  # fixed size
@@ -341,6 +342,12 @@ def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
             labels = components(links)
     nodes = of.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    return of, nodes
+
+
+def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Per document: doc_id, n_shingles and the smallest doc_id reachable by links."""
+    of, nodes = grouped(docs, size)
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(ids, "component").select("node", "component_id")
     empty = of.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -348,8 +355,19 @@ def linked(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row of docs for each group: the one with the group's smallest doc_id. Rows without a doc_id stay."""
-    found = linked(docs, size)
-    kept = found.where("doc_id = component_id").select("doc_id")
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    return one.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of docs for each group: one with the group's smallest doc_id, null only where all are, and of the texts under that
+    id the one with the least node. Rows of texts without words stay, once for each doc_id and text where they have an id."""
+    _, nodes = grouped(docs, size)
+    first = nodes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "node")).alias("first"))
+    first = written(first.select(F.col("first.least").alias("l_id_"), F.col("first.node").alias("l_node_")), "kept")
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        words = [words_of(t if isinstance(t, str) else None) for t in texts]
+        return pd.Series([key_of(w) if w else None for w in words], dtype="Int64")
+
+    rows = docs.withColumn("d_node_", key(F.col("text")))
+    one = rows.join(first, F.col("doc_id").eqNullSafe(F.col("l_id_")) & (F.col("d_node_") == F.col("l_node_")), "left_semi").dropDuplicates(["d_node_"])
+    bare = rows.where("d_node_ is null")
+    named = bare.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(named).unionByName(bare.where("doc_id is null")).select(docs.columns)

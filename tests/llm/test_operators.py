@@ -292,6 +292,14 @@ def test_components_against_union_find(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_keep_one_chooses_rows(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = a.replace("a30", "other")
+    rows_ = [(1, near), (4, a), (4, b), (None, c), (None, c), (7, None), (7, None), (None, ""), (9, b), (None, a)]
+    kept = neardup.keep_one(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3))
+    assert rows(kept) == sorted([(1, near), (4, b), (None, c), (7, None), (None, "")], key=str)
+
+
 def test_suffix_order():
     rnd = random.Random(3)
     for _ in range(400):
