@@ -1,14 +1,15 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text in lower case finds anchors: at-signs, digit-dot-digit, digit pairs, plus-digit, scheme marks and
-identifier cues. Each anchor is expanded to the maximal run of characters its kind may hold, and a small parser finds and validates the
-spans of that run. A match of a kind never leaves such a run, so the spans are those of a leftmost scan of the whole text.
+identifier cues. Each anchor is expanded to both sides by a small parser, which is linear in what it looks at, and the span is
+validated. The spans are those of a leftmost scan of the whole text.
 
 Kinds: email, ip, card, phone (base); url_user (credentials before a host in a URL), iban (two capitals before a digit
 pair, mod 97), account and ssn (numbers after an identifier cue in any case). Added kinds never remove base spans.
 
-Defined results: null text counts as empty and has no spans; repeated rows are scanned one by one; an empty table gives no rows;
-texts of any length are scanned whole; other columns are ignored.
+Defined results: null text counts as empty and has no spans; repeated rows are scanned one by one; a null doc_id stays null; an
+empty table gives no rows; texts of any length, and runs of any length in them, are scanned whole in time that grows with them;
+other columns are ignored by scan() and come back unchanged, whatever their names, from mask().
 """
 
 from __future__ import annotations
@@ -27,18 +28,20 @@ BASE = KINDS[:4]
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 DIGITS = "0123456789"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ALNUM = CAPITALS + CAPITALS.lower() + DIGITS
-#: Characters of the run an anchor of the kind expands to.
-RUN = {"email": ALNUM + "._%+-@", "ip": DIGITS + ".", "card": DIGITS + " -", "url_user": "".join(map(chr, range(33, 127))).translate({ord(c): None for c in "\"'<>"})}
+LETTERS = CAPITALS + CAPITALS.lower()
+ALNUM = LETTERS + DIGITS
+LOCAL, DOMAIN, SCHEME = ALNUM + "._%+-", "[A-Za-z0-9-]++", ALNUM + "+.-"
+#: Characters of a URL that credentials may hold, beside those that part them.
+_URL = "".join(re.escape(chr(c)) for c in range(33, 127) if chr(c) not in "\"'<>/@:")
+#: What may follow an anchor. Quantifiers that could share characters are possessive, so that no text takes more than a few passes.
 PARSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
-    "card": re.compile(r"[0-9](?:[ -]?[0-9])+"),
+    "email": re.compile(rf"@{DOMAIN}(?:\.{DOMAIN})++"),
+    "card": re.compile(r"[0-9](?:[ -]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
-    "url_user": re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]+:[^\s/@]+@[^\s/:@]+"),
+    "url_user": re.compile(rf"://[{_URL}]++:[{_URL}:]++@[{_URL}]++"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    "account": re.compile(r"[ \t]*(?:number|no\.?|nr\.?|#)?[ \t]*[:=#]?[ \t]*([0-9](?:[ -]?[0-9]){5,17})(?![0-9A-Za-z])", re.I),
-    "ssn": re.compile(r"[ \t]*(?:number|no\.?|#)?[ \t]*[:=#]?[ \t]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I),
+    "account": re.compile(r"[ \t]*+(?:number|no\.?|nr\.?|#)?[ \t]*+[:=#]?[ \t]*+([0-9](?:[ -]?[0-9]){5,17})(?![0-9A-Za-z])", re.I),
+    "ssn": re.compile(r"[ \t]*+(?:number|no\.?|#)?[ \t]*+[:=#]?[ \t]*+([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I),
 }
 #: Words before an identifier (lower case).
 CUES = {"account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account", "ssn": "ssn", "social security": "ssn"}
@@ -71,7 +74,7 @@ def _digits(s: str) -> str:
 
 def valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(n) <= 3 and int(n or "0") <= 255 for n in (p.lstrip("0") for p in s.split(".")))
     if kind == "card":
         return 16 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == "phone":
@@ -100,25 +103,45 @@ def automaton():
     return a
 
 
-def run_around(text: str, at: int, chars: str) -> tuple[int, int]:
-    """The maximal run of chars around position `at` (its character belongs to the run)."""
-    step, lo = 64, at
-    while lo > 0:
-        piece = text[max(0, lo - step) : lo]
+def start_of(text: str, end: int, chars: str, least: int) -> int:
+    """Where the maximal run of chars that ends before `end` starts, `least` or later."""
+    step, at = 64, end
+    while at > least:
+        piece = text[max(least, at - step) : at]
         kept = len(piece) - len(piece.rstrip(chars))
-        lo -= kept
+        at -= kept
         if kept < len(piece):
             break
         step *= 4
-    step, hi, n = 64, at, len(text)
-    while hi < n:
-        piece = text[hi : hi + step]
+    return at
+
+
+def end_of(text: str, start: int, chars: str) -> int:
+    """Where the maximal run of chars from `start` ends."""
+    step, at, n = 64, start, len(text)
+    while at < n:
+        piece = text[at : at + step]
         kept = len(piece) - len(piece.lstrip(chars))
-        hi += kept
+        at += kept
         if kept < len(piece):
             break
         step *= 4
-    return lo, hi
+    return at
+
+
+def addresses(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Every four numbers in a row, parted by single dots, of a run of digits and dots."""
+    out, at, begin, parts = [], lo, lo, 0
+    for part in text[lo:hi].split("."):
+        if not part:
+            parts = 0
+        else:
+            begin, parts = (at, 1) if parts == 0 else (begin, parts + 1)
+            if parts == 4:
+                out.append((begin, at + len(part)))
+                parts = 0
+        at += len(part) + 1
+    return out
 
 
 def iban_at(text: str, at: int) -> int | None:
@@ -152,16 +175,31 @@ def find(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
                 done["iban"] = stop
         if end < done[kind]:
             continue
-        if kind == "phone":
-            m = PARSE[kind].match(text, end + 1 - length)
+        at = end + 1 - length
+        if kind in ("email", "url_user"):
+            m = PARSE[kind].match(text, at)
+            lo = start_of(text, at, LOCAL if kind == "email" else SCHEME, done[kind]) if m else at
+            while kind == "url_user" and lo < at and text[lo] not in LETTERS:
+                lo += 1  # a scheme begins with a letter
+            if lo < at:
+                out[kind].append((lo, m.end()))
+                done[kind] = m.end()
+        elif kind == "ip":
+            lo = start_of(text, end, DIGITS + ".", done[kind])
+            done[kind] = end_of(text, end, DIGITS + ".")
+            out[kind] += [(a, b) for a, b in addresses(text, lo, done[kind]) if valid(kind, text[a:b])]
+        elif kind == "card":
+            # the run's first digit pair comes first; what follows it is one match up to a longer gap
+            m = PARSE[kind].match(text, at)
+            done[kind] = m.end()
+            if valid(kind, m[0]):
+                out[kind].append(m.span())
+        elif kind == "phone":
+            m = PARSE[kind].match(text, at)
             if m:
                 done[kind] = m.end()
                 if valid(kind, m[0]):
                     out[kind].append(m.span())
-        elif kind in RUN:
-            lo, hi = run_around(text, end, RUN[kind])
-            done[kind] = hi
-            out[kind] += [m.span() for m in PARSE[kind].finditer(text, lo, hi) if valid(kind, m[0])]
         elif end + 1 == len(text) or not text[end + 1].isalpha():
             m = PARSE[kind].match(text, end + 1)
             if m and valid(kind, m[1]):

@@ -173,6 +173,39 @@ def test_pii_is_a_leftmost_scan():
     assert pii.masked("mail a@b.cd now", pii.find("mail a@b.cd now", a)) == "mail <EMAIL> now"
 
 
+def test_pii_of_odd_runs_is_the_scan_of_the_contract():
+    a, rnd = pii.automaton(), random.Random(1)
+    parts = {"ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, s):
+        digits = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in s.split("."))
+        if kind == "card":
+            return 16 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    for letters in ("0123456789.. -+()", "ab@@..-1% ", "1.0@a:/+ -é", "4111 1111-"):
+        for _ in range(3000):
+            t = "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40))) + rnd.choice(["", "4111111111111111", "4111 1111 1111 1111", "+49 (30) 1234-567", "1.2.3.4"])
+            found = pii.find(t, a)
+            assert {k: found[k] for k in parts} == {k: [m.span() for m in re.finditer(v, t) if holds(k, m[0])] for k, v in parts.items()}, t
+
+
+@pytest.mark.parametrize("run", ["1", "a", "a@", "1.", "+1", "account ", "a://b:"])
+@pytest.mark.parametrize("end", ["", "@", ".5", "://", "1.1.1.1 "])
+def test_pii_of_long_runs(run, end):
+    """Quadratic parsers take minutes here."""
+    pii.find(run * 100_000 + " " * 50_000 + end + run * 100_000 + end, pii.automaton())
+
+
+def test_pii_with_many_zeros(spark):
+    text = "0" * 5000 + "1.1.1.1"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.scan(df).first()["spans"] == "ip:0:5007"
+    assert pii.mask(df).first()["text"] == "<IP>"
+
+
 def test_pii_cues_in_any_case_and_every_iban():
     a = pii.automaton()
 
