@@ -26,9 +26,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is set, as in tests."""
+    """The folder that driver and executors share. One is made only where Spark runs in one process and none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="quarrylight-")
