@@ -8,8 +8,12 @@ bounds, and verifies each pair once. The template side is a fixed list, so what
 
 Base labels come from phrases whose words stand consecutively.
 
-Defined results: null text counts as empty; rows that agree in doc_id and text get the same values, one row each; a null doc_id
-stays null; an empty table gives no rows; other columns are ignored.
+Texts are tokenised in one pass, which writes a row for each document: its number of words, those words of templates and phrases
+that it holds, and its text only if it holds as many words of a template as a match asks for, or all words of a phrase. What
+follows (document counts, order, blocks, join) reads that table.
+
+Defined results: null text counts as empty; repeated rows get a row each; a null doc_id stays null; texts of any length are
+tokenised whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -68,7 +74,7 @@ def templates(threshold: float, chosen: list[tuple[str, str]] | None = None) ->
     out = []
     for k, (label, sentence) in enumerate(chosen or TEMPLATES):
         words = sorted(set(sentence.split()))
-        out.append({"tid": k, "label": label, "words": words, "need": max(1, math.ceil(round(threshold * len(words), 9)))})
+        out.append({"tid": k, "label": label, "words": words, "length": len(sentence.split()), "need": max(1, math.ceil(round(threshold * len(words), 9)))})
     return out
 
 
@@ -79,19 +85,33 @@ def _runs(lines: Column, longest: int) -> Column:
     return F.when(F.size(lines) > 1, F.transform(starts, lambda i: F.slice(words, i, 2 * longest))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def document_frequency(docs: DataFrame, words: list[str]) -> dict[str, int]:
+def tokenised(docs: DataFrame, sets: list[dict]) -> DataFrame:
+    """One row per document, numbered: doc_id, n_words, held (the words of templates and phrases in it, each once), text (lower
+    case; null where neither a template nor a phrase can be met)."""
+    phrases = [p.split() for p in PHRASES]
+    vocabulary = sorted({w for t in sets for w in t["words"]} | {w for p in phrases for w in p})
+    # lower() may turn other letters than A-Z into ASCII ones too: n_words stays, held can only grow
+    d = docs.select("doc_id", "text", _words(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
+    d = d.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.array_intersect(F.array(*map(F.lit, vocabulary)), "words").alias("held"))
+    asked = [(t["words"], t["need"]) for t in sets] + [(p, len(set(p))) for p in phrases]
+    enough = F.lit(False)
+    for words, need in asked:
+        enough = enough | (F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= need)
+    text = F.when(enough, F.translate("text", UPPER, LOWER)).alias("text")
+    return d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "held", text)
+
+
+def document_frequency(read: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many documents each of the given words stands; as many rows as words reach the driver."""
-    text = F.translate(F.col("text"), UPPER, LOWER)
-    found = docs.select(F.explode(F.filter(F.array_distinct(_words(text)), lambda w: w.isin(words))).alias("word"))
+    found = read.select(F.explode("held").alias("word")).where(F.col("word").isin(words))
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def block_matches(docs: DataFrame, threshold: float = THRESHOLD, chosen: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, text_key, label, containment): one row for each block and template that meet."""
-    spark = docs.sparkSession
-    sets = templates(threshold, chosen)
+def block_matches(read: DataFrame, sets: list[dict]) -> DataFrame:
+    """(row, label, containment): one line for each block and template that meet. read: as tokenised() gives it."""
+    spark = read.sparkSession
     vocabulary = sorted({w for t in sets for w in t["words"]})
-    counts = document_frequency(docs, vocabulary)
+    counts = document_frequency(read, vocabulary)
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}  # rarest first
     index = []  # prefix word -> template, its place there
     for t in sets:
@@ -103,13 +123,11 @@ def block_matches(docs: DataFrame, threshold: float = THRESHOLD, chosen: list[tu
     prefixes = F.broadcast(spark.createDataFrame(index, "rank int, tid int, label string, t_at int, t_size int, need int, t_ranks array<int>"))
     rank_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
 
-    split = F.split(F.translate("text", UPPER, LOWER), "\n")
-    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(split, _words).alias("lines"))
-    longest = max(len(sentence.split()) for _, sentence in chosen or TEMPLATES)
-    blocks = lines.select("doc_id", "text_key", F.posexplode(F.concat("lines", _runs(F.col("lines"), longest))).alias("block_no", "words"))
-    blocks = blocks.select("doc_id", "text_key", "block_no", F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))).alias("words"))
+    lines = read.where("text is not null").select("row", F.transform(F.split("text", "\n"), _words).alias("lines"))
+    blocks = lines.select("row", F.posexplode(F.concat("lines", _runs(F.col("lines"), max(t["length"] for t in sets)))).alias("block_no", "words"))
+    blocks = blocks.select("row", "block_no", F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("words"))
     blocks = blocks.where((F.size("words") >= least) & F.arrays_overlap("words", F.array(*map(F.lit, leading))))
-    blocks = blocks.select("doc_id", "text_key", "block_no", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w))).alias("ranks"))
+    blocks = blocks.select("row", "block_no", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w))).alias("ranks"))
     tokens = blocks.select("*", F.size("ranks").alias("size"), F.posexplode("ranks").alias("at", "rank"))
     near = tokens.join(prefixes, "rank").where(
         (F.col("size") >= F.col("need"))  # length
@@ -119,44 +137,42 @@ def block_matches(docs: DataFrame, threshold: float = THRESHOLD, chosen: list[tu
     common = F.array_intersect("ranks", "t_ranks")
     # a pair is verified at its first common prefix word only
     near = near.where(F.array_min(common) == F.col("rank"))
-    return near.withColumn("common", F.size(common)).where(F.col("common") >= F.col("need")).select("doc_id", "text_key", "label", (F.col("common") / F.col("t_size")).alias("containment"))
+    return near.withColumn("common", F.size(common)).where(F.col("common") >= F.col("need")).select("row", "label", (F.col("common") / F.col("t_size")).alias("containment"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, chosen: list[tuple[str, str]] | None = None) -> DataFrame:
     """License labels of every document."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    hinted = F.when(F.contains(text, F.lit("license")), _words(text))
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), hinted.alias("words"))
+    sets = templates(threshold, chosen)
+    read = written(tokenised(docs, sets), "words")
+    words = F.when(F.contains("text", F.lit("license")), _words(F.col("text")))
     places = F.concat(*[_labelled(_places(F.col("words"), p.split()), label) for p, label in PHRASES.items()])
-    d = d.select("doc_id", "text_key", "n_words", F.coalesce(places, F.array().cast("array<struct<at:bigint,label:string>>")).alias("places"))
-    base = F.sort_array(F.array_distinct(F.col("places.label")))
-    d = d.select(
-        "doc_id",
-        "text_key",
-        "n_words",
+    base = read.where("text is not null").select("row", words.alias("words")).where("words is not null").select("row", places.alias("places")).where(F.size("places") > 0)
+    base = base.select(
+        "row",
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places.at").alias("first_word"),
         F.array_max("places.at").alias("last_word"),
-        base.alias("base"),
+        F.sort_array(F.array_distinct(F.col("places.label"))).alias("base"),
     )
-    own = block_matches(docs, threshold, chosen).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))
-    own = own.select(F.col("doc_id").alias("o_id"), F.col("text_key").alias("o_key"), "own", "best")
-    j = d.join(own, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_key") == F.col("o_key")), "left")
-    labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
+    own = block_matches(read, sets).groupBy("row").agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))
+    j = read.select("row", "doc_id", "n_words").join(own, "row", "left").join(base, "row", "left")
+    none = F.array().cast("array<string>")
+    labels = F.array_sort(F.array_union(F.coalesce("base", none), F.coalesce("own", none)))
     return j.select(
         "doc_id",
         "n_words",
-        "n_base",
+        F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"),
         "first_word",
         "last_word",
-        F.concat_ws(",", "base").alias("base_labels"),
+        F.concat_ws(",", F.coalesce("base", none)).alias("base_labels"),
         F.concat_ws(",", labels).alias("labels"),
         F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
     )
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL of the same result by comparing every line with every template."""
+    """DuckDB SQL of the same result by comparing every line, and every run across lines, with every template."""
+    longest = max(t["length"] for t in templates(threshold))
     cls = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     rows = ", ".join(f"('{t['label']}', {t['words']!r}, {t['need']})" for t in templates(threshold))
@@ -171,7 +187,8 @@ places AS ({places}),
 base AS (SELECT k, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS base FROM places GROUP BY k),
 tpl(label, tw, need) AS (VALUES {rows}),
 lines AS (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d),
-sets AS (SELECT k, list_distinct(regexp_extract_all(line, '{cls}')) AS words FROM lines),
+wrapped AS (SELECT k, list_distinct(words[i:i + {2 * longest - 1}]) AS words FROM (SELECT k, words, unnest(range(1, greatest(len(words) - {longest}, 1) + 1, {longest})) AS i FROM w WHERE contains(t, chr(10)))),
+sets AS (SELECT k, list_distinct(regexp_extract_all(line, '{cls}')) AS words FROM lines UNION ALL SELECT * FROM wrapped),
 hits AS (SELECT k, label, len(list_intersect(words, tw)) / len(tw) AS containment FROM sets, tpl WHERE len(list_intersect(words, tw)) >= need),
 own AS (SELECT k, list(DISTINCT label) AS own, max(containment) AS best FROM hits GROUP BY k)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
