@@ -2,6 +2,7 @@
 
 Quality rules drop documents, the n-gram Jaccard join leaves one of each group, personal data is masked, sources are mixed to
 target weights (documents of short leaves come again, those of long leaves fall to the budget), and what is left is packed.
+Every stage gives an empty table for an empty one, takes texts of any length and columns of any name.
 """
 
 from __future__ import annotations
@@ -13,22 +14,27 @@ from quarrylight.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the rules pass, with all their columns; null and empty texts go. Repeated rows are judged one by one."""
     return fertility.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns; texts without words stay, once for each doc_id."""
     return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data in text replaced by its kind; a null text stays null, n_chars follows."""
     return pii.mask(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(docs.columns)
+    """Rows as often as their leaf's budget takes them, with all their columns; a null lang or source is a leaf of its own."""
+    return mixing.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document; null and empty texts give one piece."""
     return packing.best_fit(docs)
 
 

@@ -11,8 +11,8 @@ where the budget runs out is found on those sums, and only that bucket's documen
 of all rows is never sorted in one task.
 
 Defined results: a null text has no tokens; null lang or source is a leaf value of its own, written 'none'; documents without
-tokens are in every pass; ties in seeded order are broken by doc_id and text; repeated rows count as often as they come; an
-empty table gives no rows.
+tokens are in every pass; ties in seeded order are broken by doc_id and text; repeated rows count as often as they come; texts of
+any length count whole; an empty table gives no rows; the caller's columns travel as one struct, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
@@ -29,6 +29,7 @@ LEVELS = ("domain", "lang", "source")
 DOMAIN_WEIGHTS = {"web": 0.5, "reference": 0.3, "": 0.2}
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, "": 0.05}
 SOURCE_WEIGHTS: dict[str, float] = {"src0": 4.0, "": 1.0}
+WEIGHTS = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS, "source": SOURCE_WEIGHTS}
 #: Leading hex digits of the seeded order that name a bucket (16 ** 3 buckets a leaf).
 BUCKET_DIGITS = 3
 MAX_EPOCHS = 4
@@ -65,28 +66,30 @@ def shares(nodes: DataFrame, parent: list[str], budget: str, out: str) -> DataFr
     return n.withColumn("at", first).withColumn(out, F.when(F.col("at").isNull(), F.col("capacity")).otherwise(F.col("at") * F.col("weight"))).drop("level", "open_level", "at", "capacity", "weight")
 
 
-def allocate(leaves: DataFrame, budget: float | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def allocate(leaves: DataFrame, budget: float | None = None, max_epochs: int = MAX_EPOCHS, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """leaves(domain, lang, source, supply) -> with take: tokens each leaf contributes. budget: all tokens of the corpus
-    where none is given."""
+    where none is given. weights: by level, those of its values ('' for the others)."""
+    at = WEIGHTS | (weights or {})
     lv = leaves.withColumn("cap", F.col("supply") * float(max_epochs))
     root = lv.agg(F.sum("supply").alias("total"), F.sum("cap").alias("root_cap"))
     root = root.select(F.least(F.lit(float(budget)) if budget is not None else F.col("total").cast("double"), "root_cap").alias("b0"))
-    domains = lv.groupBy("domain").agg(F.sum("cap").alias("capacity")).withColumn("weight", _weight("domain", DOMAIN_WEIGHTS)).crossJoin(F.broadcast(root))  # root: one row
+    domains = lv.groupBy("domain").agg(F.sum("cap").alias("capacity")).withColumn("weight", _weight("domain", at["domain"])).crossJoin(F.broadcast(root))  # root: one row
     domains = shares(domains.withColumn("root", F.lit(1)), ["root"], "b0", "b1").select("domain", "b1")
-    langs = lv.groupBy("domain", "lang").agg(F.sum("cap").alias("capacity")).withColumn("weight", _weight("lang", LANG_WEIGHTS))
+    langs = lv.groupBy("domain", "lang").agg(F.sum("cap").alias("capacity")).withColumn("weight", _weight("lang", at["lang"]))
     langs = shares(langs.join(domains, "domain"), ["domain"], "b1", "b2").select("domain", "lang", "b2")
-    sources = lv.withColumn("capacity", F.col("cap")).withColumn("weight", _weight("source", SOURCE_WEIGHTS))
+    sources = lv.withColumn("capacity", F.col("cap")).withColumn("weight", _weight("source", at["source"]))
     return shares(sources.join(langs, ["domain", "lang"]), ["domain", "lang"], "b2", "b3").select("domain", "lang", "source", "supply", F.floor(F.col("b3") + 1e-6).cast("long").alias("take"))
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with the leaf columns l_*, tokens and a number seeded by epoch 0."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows of docs as a struct, beside their leaf, tokens and what orders them."""
     return docs.select(
-        "*",
-        domain().alias("l_domain"),
-        F.coalesce("lang", F.lit("none")).alias("l_lang"),
-        F.coalesce("source", F.lit("none")).alias("l_source"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long").alias("l_tokens"),
+        F.struct("*").alias("row"),
+        domain().alias("domain"),
+        F.coalesce("lang", F.lit("none")).alias("lang"),
+        F.coalesce("source", F.lit("none")).alias("source"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long").alias("tokens"),
+        "doc_id",
     )
 
 
@@ -94,51 +97,54 @@ def order_key(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
 
 
-def by_leaf(rows: DataFrame, plan: DataFrame, n_leaves: int, leaf: list[str]) -> DataFrame:
+def by_leaf(rows: DataFrame, plan: DataFrame, n_leaves: int) -> DataFrame:
     """Join rows with their leaf's line of the plan. A plan of few lines is broadcast after its size is known; a longer one is
     repeated SALTS times and joined on leaf and salt, so that a leaf with a third of all rows is spread over as many tasks."""
     if n_leaves <= BROADCAST_LEAVES:
-        return rows.join(F.broadcast(plan), leaf)
-    salt = F.pmod(F.xxhash64("doc_id", "l_tokens"), F.lit(SALTS)).cast("int")
-    salted = plan.withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("l_salt", salt).join(salted, [*leaf, "l_salt"]).drop("l_salt")
-
-
-def mix(docs: DataFrame, budget: float | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as its leaf takes it, with l_domain, l_lang, l_source, l_tokens and l_epoch."""
-    leaf = ["l_domain", "l_lang", "l_source"]
-    k = keyed(docs, seed)
-    supply = k.groupBy(*leaf).agg(F.sum("l_tokens").alias("supply"))
-    plan = allocate(supply.toDF("domain", "lang", "source", "supply"), budget, max_epochs)
-    plan = plan.select(
-        *[F.col(c).alias(f"l_{c}") for c in LEVELS],
+        return rows.join(F.broadcast(plan), [*LEVELS])
+    salt = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int")
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(salted, [*LEVELS, "salt"]).drop("salt")
+
+
+def mixed(docs: DataFrame, budget: float | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(row, domain, lang, source, tokens, epoch): every row of docs, as a struct, as often as its leaf takes it."""
+    k = keyed(docs)
+    supply = k.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"))
+    lines = allocate(supply, budget, max_epochs, weights).select(
+        *LEVELS,
         F.when(F.col("supply") > 0, F.floor(F.col("take") / F.col("supply"))).otherwise(1).cast("int").alias("whole"),
         F.when(F.col("supply") > 0, F.col("take") % F.col("supply")).otherwise(0).alias("rest"),
     )
-    plan = written(plan, "plan")
-    n_leaves = plan.count()
+    first = written(lines, "plan")
+    n_leaves = first.count()
     # the epoch that is taken in part has its own order; tokens by bucket of that order
-    part = by_leaf(k.select(*leaf, "doc_id", "l_tokens"), plan, n_leaves, leaf).where("rest > 0")
-    part = part.select(*leaf, "rest", "l_tokens", F.substring(order_key(seed, F.col("whole")), 1, BUCKET_DIGITS).alias("bucket"))
-    sums = part.groupBy(*leaf, "rest", "bucket").agg(F.sum("l_tokens").alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*leaf).orderBy("bucket"))
-    cuts = sums.withColumn("upto", upto).where("upto > rest").groupBy(*leaf).agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("c"))
-    plan = plan.join(cuts.select(*leaf, "c.bucket", "c.room"), leaf, "left").select(*leaf, "whole", "rest", F.col("bucket").alias("cut"), "room")
-    plan = written(plan, "plan")
-
-    d = by_leaf(k, plan, n_leaves, leaf)
+    part = by_leaf(k.select(*LEVELS, "doc_id", "tokens"), first, n_leaves).where("rest > 0")
+    part = part.select(*LEVELS, "rest", "tokens", F.substring(order_key(seed, F.col("whole")), 1, BUCKET_DIGITS).alias("bucket"))
+    sums = part.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("tokens").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket"))
+    cuts = sums.withColumn("upto", upto).where("upto > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("c"))
+    plan = written(first.join(cuts.select(*LEVELS, "c.bucket", "c.room"), [*LEVELS], "left").select(*LEVELS, "whole", "rest", F.col("bucket").alias("cut"), "room"), "plan")
+    discard(first)
+
+    d = by_leaf(k, plan, n_leaves)
     key = order_key(seed, F.col("whole"))
     bucket = F.substring(key, 1, BUCKET_DIGITS)
     last = F.when(F.col("rest") <= 0, F.lit("out")).when(F.col("cut").isNull() | (bucket < F.col("cut")), "in").when(bucket == F.col("cut"), "cut").otherwise("out")
-    d = d.withColumn("last", last).withColumn("order", key)
-    own = docs.columns + leaf + ["l_tokens"]
+    d = d.withColumn("last", last).withColumn("place", key)
+    out = ["row", *LEVELS, "tokens"]
     whole = d.withColumn("n", F.col("whole") + F.when(F.col("last") == "in", 1).otherwise(0)).where("n > 0")
-    whole = whole.select(*own, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("l_epoch"))
-    w = W.partitionBy(*leaf, "cut").orderBy("order", "doc_id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = d.where("last = 'cut'").withColumn("upto", F.sum("l_tokens").over(w)).where("upto <= room").select(*own, F.col("whole").alias("l_epoch"))
+    whole = whole.select(*out, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("epoch"))
+    w = W.partitionBy(*LEVELS, "cut").orderBy("place", "doc_id", "row.text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = d.where("last = 'cut'").withColumn("upto", F.sum("tokens").over(w)).where("upto <= room").select(*out, F.col("whole").alias("epoch"))
     return whole.unionByName(edge)
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as its leaf takes it; options are those of mixed()."""
+    return mixed(docs, **options).select("row.*")
+
+
 def oracle(docs: str = "documents", budget: str = "(SELECT CAST(sum(supply) AS DOUBLE) FROM leaves)", max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
     """DuckDB SQL of mix() over a table or CTE `docs`; ends in CTE mixed(doc columns, leaf columns, tokens, epoch)."""
 
@@ -171,7 +177,7 @@ mixed AS (SELECT s.*, e.epoch FROM (SELECT *, whole + CASE WHEN rest > 0 AND upt
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", F.col("l_domain").alias("domain"), F.col("l_lang").alias("lang"), F.col("l_source").alias("source"), F.col("l_tokens").alias("n_tokens"), F.col("l_epoch").cast("int").alias("epoch"))
+    return mixed(docs).select("row.doc_id", *LEVELS, F.col("tokens").alias("n_tokens"), F.col("epoch").cast("int").alias("epoch"))
 
 
 def query_oracle() -> str:
