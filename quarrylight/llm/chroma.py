@@ -2,14 +2,21 @@
 
 A recording (32-bit float PCM) becomes frames of energy by pitch class; filters on an integral image over those frames compare
 areas, each comparison is quantised to two bits in Gray code, and sixteen of them make one packed integer per frame. Recordings
-with equal fingerprints form a class. Runs of integers, sampled by their minimum in a sliding window, are anchors; two classes
-align if at one time offset they share at least `SHARE` of the larger one's anchors and their integers differ in few bits there.
-Since that many anchors must be shared, it is enough to join the rarest anchors of each class (prefix filter).
+with equal fingerprints form a class.
+
+Classes are aligned by integers that they share. Of each class the least integers of sliding windows are sampled; a query's
+integers are all looked up, so that noise in a neighbour hides none. Where at one time offset at least `SHARE` of the shorter
+one's sampled integers agree, and the two overlap there by half of the shorter one or more, the share of differing bits over the
+whole overlap decides. So many integers must be shared that it is enough to look up the rarest ones of the shorter recording
+(prefix filter); nothing is capped. An excerpt aligns with the whole, and so does a recording with a shifted start, an insertion,
+or noise that leaves a quarter of the integers as they were (about 20 dB); under stronger noise it is not found.
 
 The tables hold no audio: `render` turns a text into PCM, a chord per word, as a stand-in for a media column.
 
-Defined results: null, empty and very short recordings have no anchors; a recording without integers is a class of its own;
-repeated rows are in the same class; an empty table gives no rows; other columns are ignored; null ids sort before others.
+Defined results: null, empty and very short recordings have no integers; a recording without integers is a class of its own;
+repeated rows are in the same class; recordings of any length are taken whole, CHUNK frames at a time; an empty table gives no
+rows; other columns are ignored, whatever their names; null ids sort before others. Of an integer that comes again within a
+recording only the first place is looked at.
 """
 
 from __future__ import annotations
@@ -23,14 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
+from .shingles import mixed
 
 RATE, SIZE, HOP = 4000, 256, 128
 #: Frames that a packed integer sees.
 SPAN = 16
-RUN, WINDOW = 3, 4
-SHARE = (6, 10)
-MOST_ERRORS = 0.30
+#: Integers of which the least is sampled; share of the shorter one's sampled integers that must agree at one offset.
+WINDOW = 4
+SHARE = (1, 4)
+#: Share of the shorter recording that must lie in the overlap, and of bits there that may differ.
+LEAST_OVERLAP, MOST_ERRORS = (1, 2), 0.30
+#: Frames that are transformed at once; bounds memory, not the result.
+CHUNK = 16_384
 THRESHOLDS = (-0.25, 0.0, 0.25)
 
 
@@ -54,8 +66,8 @@ def chroma(pcm: np.ndarray, pitches: np.ndarray) -> np.ndarray:
     n = (len(pcm) - SIZE) // HOP + 1
     if n <= 0:
         return np.zeros((0, 12), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(pcm, SIZE)[:: HOP][:n] * np.hanning(SIZE).astype(np.float32)
-    c = np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32) @ pitches
+    views, bell = np.lib.stride_tricks.sliding_window_view(pcm, SIZE)[::HOP], np.hanning(SIZE).astype(np.float32)
+    c = np.concatenate([np.abs(np.fft.rfft(views[k : min(n, k + CHUNK)] * bell, axis=1)).astype(np.float32) @ pitches for k in range(0, n, CHUNK)])
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-6)
 
 
@@ -92,49 +104,64 @@ def fingerprint(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def render(text: str | None) -> np.ndarray:
-    """PCM of a text: three tones a word, chosen by the word. A stand-in where a table holds no audio."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    if not words:
-        return np.empty(0, np.float32)
-    h = np.array([zlib.crc32(w) for w in words], np.int64)
-    tones = np.stack([h % 12, h // 12 % 12, h // 144 % 12], axis=1)
+def tones(text: str | None) -> np.ndarray:
+    """Three pitch classes a word, chosen by the word."""
+    h = np.array([zlib.crc32(w) for w in (text or "").encode("utf-8", "surrogatepass").split()], np.int64)
+    return np.stack([h % 12, h // 12 % 12, h // 144 % 12], axis=1)
+
+
+def render(chords: np.ndarray) -> np.ndarray:
+    """PCM of chords of three tones, HOP samples each. A stand-in where a table holds no audio."""
     t = np.arange(HOP, dtype=np.float32) / RATE
     wave = np.sin(2 * np.pi * 440.0 * 2 ** (np.arange(12)[:, None] / 12) * t).astype(np.float32)
-    return wave[tones].sum(axis=1).ravel() / 3
+    return wave[chords].sum(axis=1).ravel() / 3
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors of a fingerprint with their first places, by anchor."""
-    n = len(fp) - RUN + 1
-    if n <= 0:
+def sung(text: str | None, pitches: np.ndarray) -> np.ndarray:
+    """Frames of a text's recording, rendered piece by piece: a frame is two chords."""
+    chords = tones(text)
+    return np.concatenate([chroma(render(chords[k : k + CHUNK + 1]), pitches) for k in range(0, max(1, len(chords) - 1), CHUNK)])
+
+
+def integers(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct integers of a fingerprint, in order, with their first places."""
+    value, first = np.unique(fp, return_index=True)
+    return value.astype(np.int64), first
+
+
+def sampled(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct integers that are the least, by hash, of WINDOW neighbours, in order, with their first places there."""
+    if not len(fp):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.full(n, 7, np.uint64)
-    for k in range(RUN):
-        h = (h ^ fp[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    w = min(WINDOW, n)
-    views = np.lib.stride_tricks.sliding_window_view(h, w)
+    views = np.lib.stride_tricks.sliding_window_view(mixed(fp.astype(np.uint64)), min(WINDOW, len(fp)))
     at = np.unique(np.arange(len(views)) + views.argmin(axis=1))
-    value, first = np.unique(h[at], return_index=True)
-    return value.view(np.int64), at[first]
+    value, first = np.unique(fp[at], return_index=True)
+    return value.astype(np.int64), at[first]
+
+
+def needed(n: int, m: int) -> int:
+    """Sampled integers that must agree at one offset, of recordings with n and m of them."""
+    return -(-SHARE[0] * min(n, m) // SHARE[1])
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
-    """(offset of b against a, shared anchors there, share of differing bits), if the two align."""
-    (va, pa_), (vb, pb) = anchors(a), anchors(b)
+    """(offset of b against a, integers sampled from b that agree there, share of differing bits), if the two align: at the offset
+    with the fewest errors of those with votes enough, the least on ties."""
+    (va, pa_), (vb, pb) = integers(a), sampled(b)
     common, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
     if not len(common):
         return None
     offsets, votes = np.unique(pb[ib] - pa_[ia], return_counts=True)  # the histogram
-    k = int(np.argmax(votes))
-    offset, most = int(offsets[k]), int(votes[k])
-    if SHARE[1] * most < SHARE[0] * max(len(va), len(vb)):
-        return None
-    lo, hi = max(0, -offset), min(len(a), len(b) - offset)
-    x = a[lo:hi] ^ b[lo + offset : hi + offset]
-    errors = float(np.unpackbits(x.view(np.uint8)).mean())
-    return (offset, most, round(errors, 6)) if errors <= MOST_ERRORS else None
+    best = None
+    for k in np.flatnonzero(votes >= needed(len(sampled(a)[0]), len(vb))):
+        offset = int(offsets[k])
+        lo, hi = max(0, -offset), min(len(a), len(b) - offset)
+        if LEAST_OVERLAP[1] * (hi - lo) < LEAST_OVERLAP[0] * min(len(a), len(b)):
+            continue
+        errors = round(float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).mean()) / 32, 6)
+        if errors <= MOST_ERRORS and (best is None or errors < best[2]):
+            best = offset, int(votes[k]), errors
+    return best
 
 
 def fingerprints(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
@@ -144,7 +171,7 @@ def fingerprints(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pitches = pitch_matrix()
         for batch in batches:
-            fps = [fingerprint(chroma(render(t), pitches)).astype("<u4").tobytes() for t in batch.column(len(ids)).to_pylist()]
+            fps = [fingerprint(sung(t, pitches)).astype("<u4").tobytes() for t in batch.column(len(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(pa.int64()) for k in range(len(ids))), pa.array(fps, pa.binary())], names=[*ids, "fp"])
 
     return rows.select(*ids, text).mapInArrow(run, ", ".join(f"{c} long" for c in ids) + ", fp binary")
@@ -153,29 +180,44 @@ def fingerprints(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
 def search(rows: DataFrame, ids: list[str], text: str, is_query) -> DataFrame:
     """Per row: ids, number of integers, class (the class's least ids), whether it is a query, and for queries the classes that
     align with it: their ids, offset, shared anchors and bit errors."""
-    fps = fingerprints(rows, ids, text).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
+    fps = fingerprints(rows.select(*ids, F.coalesce(is_query, F.lit(False)).cast("long").alias("is_query"), text), [*ids, "is_query"], text)
     key = F.when(F.length("fp") > 0, F.sha2("fp", 256)).otherwise(F.concat_ws(":", F.lit("none"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids]))
-    named = fps.withColumn("class", key)
-    classes = named.groupBy("class").agg(F.min(F.struct(*ids)).alias("rep"), F.max("is_query").alias("asked"), F.first("fp").alias("fp"))
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, asked, fp = (c.to_pylist() for c in batch.columns)
-            found = [anchors(np.frombuffer(b, "<u4"))[0] for b in fp]
-            n = [len(v) for v in found]
-            if sum(n):
-                at = np.repeat(np.arange(len(n)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(cls).take(pa.array(at)), pa.array(np.array(asked, bool)[at]), pa.array(np.concatenate(found), pa.int64()), pa.array(np.array(n)[at], pa.int32())], names=["class", "asked", "anchor", "n"])
-
-    a = classes.where(F.length("fp") > 0).select("class", "asked", "fp").mapInArrow(sampled, "class string, asked boolean, anchor long, n int")
-    counts = a.groupBy("anchor").agg(F.count("*").alias("held")).where("held > 1")  # what one class holds joins nothing
-    ranked = a.join(counts, "anchor", "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    place = F.row_number().over(W.partitionBy("class").orderBy("held", "anchor"))
-    need = F.ceil(F.col("n") * SHARE[0] / SHARE[1])
-    prefix = ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - need + 1) & (F.col("held") > 1)).select("class", "asked", "anchor", "n")
-    q = prefix.where("asked").select(F.col("class").alias("q"), "anchor", F.col("n").alias("qn"))
-    near = (F.col("n") * SHARE[1] >= F.col("qn") * SHARE[0]) & (F.col("qn") * SHARE[1] >= F.col("n") * SHARE[0])
-    pairs = q.join(prefix.select(F.col("class").alias("r"), "anchor", "n"), "anchor").where((F.col("q") != F.col("r")) & near).select("q", "r").distinct()
+    named = written(fps.withColumns({"class": key, "is_query": F.col("is_query") > 0}), "fingerprints")
+    classes = written(named.groupBy("class").agg(F.min(F.struct(*ids)).alias("rep"), F.max("is_query").alias("asked"), F.first("fp").alias("fp")), "classes")
+
+    def looked_up(of, only: str) -> DataFrame:
+        """(class, n, value, m): the integers that of() takes from each class, and how many are sampled from it and taken."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cls, fp = (c.to_pylist() for c in batch.columns)
+                fp = [np.frombuffer(b, "<u4") for b in fp]
+                found = [of(x)[0] for x in fp]
+                m = [len(v) for v in found]
+                if sum(m):
+                    at = np.repeat(np.arange(len(m)), m)
+                    n = np.array([len(sampled(x)[0]) for x in fp])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls).take(pa.array(at)), pa.array(n[at], pa.int32()), pa.array(np.concatenate(found), pa.int64()), pa.array(np.array(m)[at], pa.int32())], names=["class", "n", "value", "m"])
+
+        return classes.where("length(fp) > 0").where(only).select("class", "fp").mapInArrow(run, "class string, n int, value long, m int")
+
+    every = written(looked_up(sampled, "true"), "sampled")
+    asked = written(looked_up(integers, "asked"), "asked")
+    held = every.groupBy("value").agg(F.count("*").alias("held"))
+    place = F.row_number().over(W.partitionBy("class").orderBy("held", "value"))
+    least = F.ceil(F.col("n") * SHARE[0] / SHARE[1])
+
+    def rarest(some: DataFrame) -> DataFrame:
+        """Those of which one at least must be shared where the class is the shorter one."""
+        ranked = some.join(held, "value", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+        return ranked.withColumn("place", place).where(F.col("place") <= F.col("m") - least + 1).select("class", "n", "value")
+
+    def side(some: DataFrame, c: str) -> DataFrame:
+        return some.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), "value")
+
+    shorter = side(rarest(every), "r").join(side(asked, "q"), "value").where("n_r <= n_q")
+    longer = side(every, "r").join(side(rarest(asked), "q"), "value").where("n_r > n_q")
+    pairs = shorter.select("q", "r").union(longer.select("q", "r")).where("q <> r").distinct()
     of = classes.select("class", "fp", "rep")
     pairs = pairs.join(of.select(F.col("class").alias("q"), F.col("fp").alias("qf")), "q").join(of.select(F.col("class").alias("r"), F.col("fp").alias("rf"), "rep"), "r")
 

@@ -5,7 +5,8 @@ the rows with the smallest hash of doc_id, so it is the same on every run. Label
 
 Defined results: null and empty texts get the model's score of a text that says nothing; repeated rows are scored one by one;
 without labelled rows, or with one label only, the score is that label's share (a half if there are none); a null doc_id is not
-held out; an empty table gives no rows; other columns are ignored.
+held out; where a doc_id comes with several texts, its label goes with the least of them; texts of any length are scored whole, batch
+by batch; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

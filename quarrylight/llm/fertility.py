@@ -6,7 +6,8 @@ are not whole UTF-8 characters) and the entropy of tokens in windows that tile t
 language, or else of its script, is rejected.
 
 Defined results: a null lang falls back to the script; null text counts as no words (base_failed); empty and white-space texts likewise; no upper limit on length;
-repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
+repeated rows are judged one by one; a null doc_id stays null; an empty table gives no rows; other columns are ignored by judge()
+and come back unchanged, whatever their names, from keep_good().
 """
 
 from __future__ import annotations

@@ -11,13 +11,13 @@ STEP = 1 << 20
 ODD, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX)
     return x ^ (x >> np.uint64(29))
 
 
 #: A 64-bit number for every byte value, from a rule.
-BYTES = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD)))
+BYTES = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD)))
 
 
 def normal(text: str | None) -> bytes:
@@ -43,7 +43,7 @@ class Shingler:
         start, end = np.append(0, spaces + 1), np.append(spaces, len(b))
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(BYTES[b] * self.power[: len(b)], out=sums[1:])
-        return _mixed((sums[end] - sums[start]) * self.back[start])
+        return mixed((sums[end] - sums[start]) * self.back[start])
 
     def hashes(self, words: bytes) -> np.ndarray:
         """A hash of each word. Words longer than STEP are hashed by themselves."""

@@ -15,6 +15,10 @@ from quarrylight.llm import chroma, classify, components, entries, fertility, li
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = (
+    "node bucket name names tokens l_tokens score grp row domain epoch whole rest cut room place last n upto take supply cap salt at a b least component d_node id said words held "
+    "n_words label labels base best own kept predicted quality toxic held_out copies found h first piece start length offset sequence_id around row_id size order l_domain l_epoch key"
+).split()
 PHRASE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree and nobody says a word about it "
 
 
@@ -40,7 +44,7 @@ def odd(spark):
     ]
     df = spark.createDataFrame(rows, DOCS)
     # columns whose names the operators use themselves
-    return df.withColumns({c: F.lit("x") for c in ("node", "bucket", "name", "tokens", "l_tokens_", "score", "grp")})
+    return df.withColumns({c: F.lit("x") for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -75,12 +79,45 @@ def test_odd_cases(odd, empty, spark):
     assert neardup.keep_one(odd).where("doc_id = 4").count() == 1
 
 
+def test_odd_values(odd, spark):
+    long_ = PHRASE * 400
+    near = {tuple(r) for r in neardup.linked(odd).collect()}
+    said = PHRASE.split() * 3
+    shingles = len({tuple(said[i : i + 5]) for i in range(len(said) - 4)})
+    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, shingles, None), (None, shingles, None), (5, 1, 5), (7, 1, 7)} <= {(a, n, c if a in (1, 2, 3, 5, 7) else None) for a, n, c in near}
+    assert {c for a, _, c in near if a in (None, 4, 6)} == {4}  # the same shingles, however often the phrase comes
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert {tuple(r)[1:] for r in pii.scan(odd).collect()} == {(0, 0, 0, 0, nothing, "")}
+    words = {r.doc_id: (r.n_words, r.n_base, r.labels, r.score) for r in licenses.scan(odd).collect()}
+    assert words[1] == words[2] == words[3] == (0, 0, "", 0.0) and words[6] == (len(long_.split()), 0, "", 0.0) and words[8][0] == 80
+    gone = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(odd).collect()}
+    assert gone[1] == gone[2] == (0, 0, nothing) and gone[5] == (30000, 30000, nothing) and gone[4][1] == gone[4][0] and gone[7][1] == 0
+    judged = {r.doc_id: (r.n_words, r.word_chars, r.base_failed, r.kept) for r in fertility.judge(odd).collect()}
+    assert judged[1] == judged[2] == judged[3] == (0, 0, True, False) and judged[5] == (1, 30000, True, False)
+    placed = packing.best_fit(odd).toPandas()
+    assert placed[placed.doc_id.isin([1, 2])][["piece", "start", "length"]].values.tolist() == [[0, 0, 1]] * 2
+    texts = {r.doc_id: r.text for r in pii.mask(odd).collect()}
+    assert texts[1] is None and texts[6] == long_
+
+
+def test_rows_travel_under_any_names(odd, spark):
+    """Every column comes back as it was, whatever the operators call their own."""
+    own = lambda df: {str(r.asDict()) for r in df.collect()}
+    for op in (mixing.mix, neardup.keep_one, fertility.keep_good, pii.mask):
+        got = op(odd)
+        assert got.columns == odd.columns, op
+        kept = [r.asDict() for r in got.collect()]
+        assert all(r[c] == "x" for r in kept for c in CLASHES), op
+    assert own(mixing.mix(odd)) <= own(odd) and own(neardup.keep_one(odd)) <= own(odd)
+    assert {r.doc_id for r in neardup.keep_one(odd).collect()} == {1, 2, 3, 4, 5, 7, 8}
+
+
 def test_pieces_are_the_tokenizer_s():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    bpe = tokens.ByteBpe(tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    bpe = tokens.ByteBpe(tokens.vocabulary_path("byte_bpe_50k.tiktoken"), tokens.added_tokens(path))
     rnd = random.Random(5)
     signs = ["a", "word", " ", "  ", "\n", "'s", "'", "12", "é", "ñ", "_", "\x1c", "\x85", "\xa0", "½", "<|endoftext|>", "中文", "мир", "!?", "\t", "'ll", "á", "😀"]
     for _ in range(3000):
@@ -133,6 +170,20 @@ def test_packing_under_every_capacity():
         packing.place(np.array([101]), 100, 3, 1e9, (1, 1, 1), "norm")
 
 
+def test_packing_capacities_of_the_query_act():
+    tiny = np.ones(1000, np.int64)
+    few, _ = packing.place(tiny, 1024, packing.SLOTS, 1024.0**2, packing.WEIGHTS, "norm", packing.BLOCK)
+    assert np.bincount(few).max() == packing.SLOTS  # slots bind
+    costly, _ = packing.place(tiny, 1024, 1024, 1024.0**2, packing.WEIGHTS, "norm", packing.BLOCK)
+    assert np.bincount(costly).max() == (1024 // packing.BLOCK) ** 2  # cost binds: a token costs a block
+    tokens_only, _ = packing.place(tiny, 1024, 1024, 1024.0**2, packing.WEIGHTS, "norm")
+    assert np.bincount(tokens_only).max() == 1000
+    # two bins with the same room for tokens: with a weight on slots, the one with fewer slots left
+    for weights, same in (((1, 1, 0), 1), ((1, 0, 0), 0)):
+        bins, _ = packing.place(np.array([600, 300, 300, 100]), 700, 4, 1e9, weights, "norm")
+        assert bins[1] == bins[2] != bins[0] and bins[3] == bins[same]
+
+
 def test_base_counts():
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -343,9 +394,10 @@ def test_suffix_order():
         assert sorted(order.tolist()) == list(range(len(s))) and heads == sorted(heads)
 
 
-@pytest.mark.parametrize("one_task", [50_000, 1])
-def test_repeats(spark, one_task, monkeypatch):
+@pytest.mark.parametrize(("one_task", "step"), [(50_000, 1 << 20), (1, 1 << 20), (50_000, 150)])
+def test_repeats(spark, one_task, step, monkeypatch):
     monkeypatch.setattr(substrings, "ONE_TASK", one_task)
+    monkeypatch.setattr(substrings, "STEP", step)
     rnd = random.Random(4)
 
     def noise(n):
@@ -370,6 +422,28 @@ def test_repeats(spark, one_task, monkeypatch):
         assert got[k] == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()), k
 
 
+def test_anchors_of_one_character_stay_small():
+    import tracemalloc
+
+    data = b"a" * 1_000_000
+    hasher = substrings.Hasher()
+    tracemalloc.start()
+    h, at, first, last = substrings.anchors(hasher, hasher.load(data), 200, 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h) == len(data) - 63 and most < 200 * len(data)
+    assert (first[0], last[0]) == (0, 0) and (first[-1], last[-1]) == (len(data) - 200,) * 2 and (first[500], last[500]) == (500 - 136, 500)
+
+
+def test_the_two_hashes_are_independent():
+    hasher, rnd = substrings.Hasher(), random.Random(5)
+    sums = set()
+    for _ in range(50):
+        hasher.load(bytes(rnd.randrange(256) for _ in range(200)))
+        sums.add((int(hasher.runs([0], [200])[0]) + int(hasher.runs([0], [200], 1)[0])) % 2**64)
+    assert len(sums) == 50
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -391,6 +465,53 @@ def test_chroma(spark):
     assert got[40].links == [] and got[22].links is None
 
 
+def test_chroma_aligns_what_brute_force_aligns(spark):
+    """Excerpts, insertions and overlaps, against every pair of recordings at every offset."""
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(90, 160))] for _ in range(5)]
+    texts = []
+    for b in base:
+        third = len(b) // 3
+        texts += [b, b[third:], b[third : third + 45], [*b[:50], "put", "in", *b[50:]], [*(f"x{k}" for k in range(30)), *b[:70]], b[::-1]]
+    turns = [(20 * i if i % 3 == 0 else 20 * i + 1, 0, " ".join(t)) for i, t in enumerate(texts)]
+    got = chroma.query(spark.createDataFrame(turns, "conv_id long, turn long, text string")).collect()
+    pitches = chroma.pitch_matrix()
+    fp = {i: chroma.fingerprint(chroma.sung(t, pitches)) for i, _, t in turns}
+
+    def brute(a, b):
+        """The least share of errors over half of the shorter one, at any offset."""
+        n = min(len(a), len(b))
+        shares = []
+        for offset in range(-len(a), len(b)):
+            lo, hi = max(0, -offset), min(len(a), len(b) - offset)
+            if 2 * (hi - lo) >= n:
+                shares.append(float(np.unpackbits((a[lo:hi] ^ b[lo + offset : hi + offset]).view(np.uint8)).mean()))
+        return min(shares)
+
+    for r in got:
+        if r.is_query:
+            # an insertion leaves its first half as it was; what is found beyond brute force's clear cases must align well too
+            clear = {i for i in fp if i != r.conv_id and brute(fp[r.conv_id], fp[i]) <= 0.10}
+            found = {x.conv_id: x.errors for x in r.links}
+            assert clear <= set(found) and all(brute(fp[r.conv_id], fp[i]) <= e + 1e-6 <= chroma.MOST_ERRORS + 1e-6 for i, e in found.items())
+
+
+def test_chroma_bears_noise_and_a_shifted_start():
+    rng = np.random.default_rng(2)
+    pcm = chroma.render(rng.integers(0, 12, (400, 3)))
+    pitches = chroma.pitch_matrix()
+    whole = chroma.fingerprint(chroma.chroma(pcm, pitches))
+    loud = np.sqrt((pcm**2).mean())
+    for db in (40, 30, 20):
+        noisy = (pcm + loud * 10 ** (-db / 20) * rng.standard_normal(len(pcm))).astype(np.float32)
+        got = chroma.aligned(whole, chroma.fingerprint(chroma.chroma(noisy, pitches)))
+        assert got and got[0] == 0 and got[2] < 0.05, db
+    for shift in (4, 16):
+        got = chroma.aligned(whole, chroma.fingerprint(chroma.chroma(pcm[shift:], pitches)))
+        assert got and abs(got[0]) <= 1 and got[2] < 0.10, shift
+    assert chroma.aligned(whole, chroma.fingerprint(chroma.chroma(chroma.render(rng.integers(0, 12, (400, 3))), pitches))) is None
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
