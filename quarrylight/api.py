@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sinks
+from .functions.scalar import severity_rank
 from .operators import catalog, deps, findings, triage
 from .plans import diff as diffs
 from .plans import incremental
@@ -50,13 +51,16 @@ def diff(spark: SparkSession, folder: str, base: str, options: ScanOptions | Non
     """Findings of a revision against those of the working tree."""
     if not sources.is_repository(folder) or not sources.resolve_revision(folder, base):
         raise ValueError(f"{folder} has no revision {base}")
-    before = scan(sources.of_revision(spark, folder, base), options)
-    after = diffs.relative(scan(sources.of_directory(spark, folder), options), folder)
+    o = options or ScanOptions()
+    walk = {"extensions": o.extensions, "exclude": o.exclude, "max_size": o.max_size}
+    before = scan(sources.of_revision(spark, folder, base, **walk), o)
+    after = diffs.relative(scan(sources.of_directory(spark, folder, **walk), o), folder)
     return diffs.compare(before, after)
 
 
 def list_rules(spark: SparkSession, severity: str | None = None) -> DataFrame:
-    r = catalog.rules_df(spark)
+    """Rules, the most severe first."""
+    r = catalog.rules_df(spark).orderBy(severity_rank(F.col("severity")).desc(), "rule_id")
     return r.where(F.col("severity") == severity) if severity else r
 
 

@@ -17,63 +17,90 @@ PR_CHANGED = {"N": 0.85, "L": 0.68, "H": 0.5}
 UI = {"N": 0.85, "R": 0.62}
 CIA = {"N": 0.0, "L": 0.22, "H": 0.56}
 
-#: Default vector of a rule (short form AV/AC/PR/UI/S/C/I/A).
+#: Default vector of a rule (short form AV/AC/PR/UI/S/C/I/A); rules without one have no score.
 DEFAULT_VECTORS = {
     "sql-injection": "N/L/N/N/U/H/H/H",
-    "command-injection": "N/L/N/N/C/H/H/H",
-    "ssti": "N/L/N/N/C/H/H/H",
-    "ldap-injection": "N/L/N/N/U/H/L/N",
-    "graphql-injection": "N/L/N/N/U/H/L/N",
-    "http-parameter-pollution": "N/L/N/N/U/L/L/N",
-    "nosql-injection": "N/L/N/N/U/H/H/N",
-    "insecure-crypto": "N/H/N/N/U/H/N/N",
-    "hardcoded-secrets": "N/L/N/N/U/H/H/N",
-    "insecure-jwt": "N/L/N/N/U/H/H/N",
-    "csrf": "N/L/N/R/U/L/H/N",
-    "idor": "N/L/L/N/U/H/L/N",
-    "mass-assignment": "N/L/L/N/U/L/H/N",
-    "missing-authz": "N/L/L/N/U/H/H/N",
-    "disabled-security-control": "N/L/N/N/U/L/L/N",
+    "command-injection": "N/L/N/N/U/H/H/H",
+    "hardcoded-secrets": "N/L/N/N/U/H/H/H",
     "xss": "N/L/N/R/C/L/L/N",
-    "ssrf": "N/L/N/N/C/H/L/N",
-    "open-redirect": "N/L/N/R/C/L/L/N",
-    "cors-misconfig": "N/L/N/R/U/H/N/N",
-    "clickjacking": "N/L/N/R/U/N/L/N",
-    "cache-poisoning": "N/H/N/N/U/L/L/N",
     "path-traversal": "N/L/N/N/U/H/N/N",
+    "insecure-crypto": "N/H/N/N/U/H/H/N",
+    "ssrf": "N/L/N/N/U/H/H/N",
+    "nosql-injection": "N/L/N/N/U/H/H/H",
+    "open-redirect": "N/L/N/R/U/L/L/N",
+    "prototype-pollution": "N/L/N/N/U/H/H/H",
+    "insecure-deserialization": "N/L/N/N/U/H/H/H",
+    "xxe": "N/L/N/N/U/H/N/N",
+    "insecure-jwt": "N/L/N/N/U/H/H/N",
+    "missing-authz": "N/L/L/N/U/H/H/H",
+    "ssti": "N/L/N/N/U/H/H/H",
+    "ldap-injection": "N/L/N/N/U/H/H/N",
+    "mass-assignment": "N/L/N/N/U/H/H/H",
+    "idor": "N/L/L/N/U/H/H/N",
+    "graphql-injection": "N/L/N/N/U/H/H/N",
+    "cors-misconfig": "N/L/N/R/C/H/H/N",
+    "race-condition": "N/H/N/N/U/H/H/H",
     "arbitrary-file-write": "N/L/N/N/U/H/H/H",
-    "race-condition": "L/H/L/N/U/L/H/N",
-    "dos-redos": "N/L/N/N/U/N/N/H",
     "dependency-vuln": "N/L/N/N/U/H/H/H",
-    "docker-security": "L/L/L/N/C/H/H/H",
-    "k8s-security": "L/L/L/N/C/H/H/H",
-    "terraform-misconfig": "N/L/N/N/U/H/L/N",
-    "insecure-deserialization": "N/L/N/N/U/H/H/H",
-    "xxe": "N/L/N/N/U/H/N/L",
-    "prototype-pollution": "N/L/N/N/U/L/H/L",
-    "interproc-taint": "N/L/N/N/U/H/H/N",
+    "docker-root": "L/L/L/N/C/H/H/H",
+    "docker-secret": "L/L/L/N/C/H/H/N",
+    "k8s-privileged": "N/L/L/N/C/H/H/H",
+    "terraform-misconfig": "N/L/N/N/U/H/H/H",
+    "csrf": "N/L/N/R/U/L/L/N",
+    "http-parameter-pollution": "N/L/N/N/U/L/L/N",
+    "cache-poisoning": "N/H/N/N/C/H/H/N",
+    "clickjacking": "N/L/N/R/U/L/L/N",
+    "dos-redos": "N/L/N/N/U/N/N/H",
+    "insecure-cors": "N/L/N/R/C/H/H/N",
 }
 
 #: Class of weakness -> category of the 2021 list; what is not named is insecure design.
 CWE_OWASP = {
-    "A01": "22 284 285 352 425 434 601 639 862 863 915 200 276",
-    "A02": "259 295 319 326 327 328 330 798",
-    "A03": "20 77 78 79 88 89 90 94 95 235 643 943 1321 1333",
-    "A05": "16 250 611 668 942 1021 1188",
-    "A06": "937 1104",
-    "A07": "287 306 307 347 384",
-    "A08": "345 502",
-    "A10": "918",
+    "CWE-89": "A03",
+    "CWE-78": "A03",
+    "CWE-79": "A03",
+    "CWE-91": "A03",
+    "CWE-94": "A03",
+    "CWE-95": "A03",
+    "CWE-564": "A03",
+    "CWE-643": "A03",
+    "CWE-1336": "A03",
+    "CWE-20": "A03",
+    "CWE-22": "A01",
+    "CWE-23": "A01",
+    "CWE-284": "A01",
+    "CWE-285": "A01",
+    "CWE-639": "A01",
+    "CWE-601": "A01",
+    "CWE-352": "A01",
+    "CWE-918": "A10",
+    "CWE-327": "A02",
+    "CWE-328": "A02",
+    "CWE-330": "A02",
+    "CWE-798": "A02",
+    "CWE-916": "A02",
+    "CWE-502": "A08",
+    "CWE-611": "A05",
+    "CWE-16": "A05",
+    "CWE-1004": "A05",
+    "CWE-1021": "A05",
+    "CWE-287": "A07",
+    "CWE-306": "A07",
+    "CWE-384": "A07",
+    "CWE-1395": "A06",
+    "CWE-1104": "A06",
+    "CWE-117": "A09",
+    "CWE-778": "A09",
+    "CWE-400": "A04",
+    "CWE-1333": "A04",
+    "CWE-362": "A04",
+    "CWE-434": "A04",
 }
 DEFAULT_OWASP = "A04"
 
 
-def cwe_table() -> dict[str, str]:
-    return {f"CWE-{n}": k for k, ns in CWE_OWASP.items() for n in ns.split()}
-
-
 def owasp(cwe: Column) -> Column:
-    return look_up(cwe, cwe_table(), DEFAULT_OWASP)
+    return look_up(cwe, CWE_OWASP, DEFAULT_OWASP)
 
 
 def _round_up(x: Column) -> Column:
@@ -90,7 +117,7 @@ def scored(df: DataFrame, vector: str = "vector") -> DataFrame:
     isc = F.col("_isc")
     out = out.withColumn("_imp", F.when(F.col("_changed"), 7.52 * (isc - 0.029) - 3.25 * F.pow(isc - 0.02, 15)).otherwise(6.42 * isc))
     out = out.withColumn("_sum", F.when(F.col("_changed"), 1.08 * (F.col("_imp") + F.col("_e"))).otherwise(F.col("_imp") + F.col("_e")))
-    out = out.withColumn("base", F.when(isc <= 0, 0.0).otherwise(_round_up(F.least("_sum", F.lit(10.0)))))
+    out = out.withColumn("base", F.when(F.col("_imp") <= 0, 0.0).otherwise(_round_up(F.least("_sum", F.lit(10.0)))))
     out = out.withColumns({"impact": F.round(F.greatest("_imp", F.lit(0.0)), 1), "exploitability": F.round("_e", 1), "rating": F.when(F.col("base").isNotNull(), rating(F.col("base")))})
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
@@ -102,7 +129,7 @@ def score(vector: str) -> tuple[float, float, float, str, str]:
     e = 8.22 * AV[av] * AC[ac] * (PR_CHANGED if changed else PR)[pr] * UI[ui]
     isc = 1 - (1 - CIA[c]) * (1 - CIA[i]) * (1 - CIA[a])
     impact = 7.52 * (isc - 0.029) - 3.25 * (isc - 0.02) ** 15 if changed else 6.42 * isc
-    base = 0.0 if isc <= 0 else math.ceil(round(min(10.0, 1.08 * (impact + e) if changed else impact + e) * 10, 6)) / 10
+    base = 0.0 if impact <= 0 else math.ceil(round(min(10.0, 1.08 * (impact + e) if changed else impact + e) * 10, 6)) / 10
     name = next((n for least, n in ((9, "critical"), (7, "high"), (4, "medium"), (0.1, "low")) if base >= least), "none")
     return base, round(max(impact, 0.0), 1), round(e, 1), vector, name
 
@@ -128,6 +155,6 @@ p AS (SELECT *, string_split(vector, '/')[5] = 'C' AS changed, {case(1, AV)} AS
   {case(4, UI)} AS ui, {case(6, CIA)} AS c, {case(7, CIA)} AS i, {case(8, CIA)} AS a FROM v),
 q AS (SELECT *, CAST(8.22 AS DOUBLE) * av * ac * (CASE WHEN changed THEN pr1 ELSE pr0 END) * ui AS e, 1 - (1 - c) * (1 - i) * (1 - a) AS isc FROM p),
 r AS (SELECT *, CASE WHEN changed THEN CAST(7.52 AS DOUBLE) * (isc - 0.029) - CAST(3.25 AS DOUBLE) * pow(isc - 0.02, 15) ELSE CAST(6.42 AS DOUBLE) * isc END AS imp FROM q),
-s AS (SELECT *, CASE WHEN isc <= 0 THEN 0.0 ELSE ceil(round(least(CASE WHEN changed THEN CAST(1.08 AS DOUBLE) * (imp + e) ELSE imp + e END, 10.0) * 10, 6)) / 10 END AS base FROM r)
+s AS (SELECT *, CASE WHEN imp <= 0 THEN 0.0 ELSE ceil(round(least(CASE WHEN changed THEN CAST(1.08 AS DOUBLE) * (imp + e) ELSE imp + e END, 10.0) * 10, 6)) / 10 END AS base FROM r)
 SELECT rule_id, CAST(base AS DOUBLE) AS base, round(greatest(imp, 0.0), 1) AS impact, round(e, 1) AS exploitability,
   CASE WHEN base >= 9 THEN 'critical' WHEN base >= 7 THEN 'high' WHEN base >= 4 THEN 'medium' WHEN base >= 0.1 THEN 'low' ELSE 'none' END AS rating FROM s"""

@@ -89,16 +89,17 @@ def ascii_bounded(words: str) -> str:
     return rf"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
 
 
-#: Frequent function words by which prose is told from random strings.
+#: Frequent words by which prose is told from random strings.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would "
-    "could should may might must can this that these those it its not no if then else when where which who what how all each"
+    "the and for are but not you all can had her was one our out has have from they will with this that what when make like just into "
+    "over such only other some could been than then also very after about which their there would should because between through "
+    "during without another"
 ).split()
 
 
 def is_prose(text: Column) -> Column:
-    """At least three words, two of them function words; or spaces and mostly, not only, letters."""
-    words = F.filter(F.split(F.lower(text), r"[ \t\r\n]+"), lambda w: w != "")
-    known = F.size(F.filter(words, lambda w: w.isin(STOP_WORDS)))
+    """At least three words, two of them frequent ones, whatever sign stands at a word; or spaces and mostly, not only, letters."""
+    words = F.split(F.lower(text), r"[ \t\r\n\f\x0B]+")
+    known = F.size(F.filter(words, lambda w: F.regexp_replace(w, "[^a-z]", "").isin(STOP_WORDS)))
     letters = F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / F.greatest(F.length(text), F.lit(1))
     return F.when(F.size(words) < 3, False).when(known >= 2, True).otherwise(F.contains(text, F.lit(" ")) & (letters > 0.6) & (letters < 0.9))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cvss import cwe_table
+from ..functions.cvss import CWE_OWASP, DEFAULT_OWASP
 
 WEB = ".js .jsx .ts .tsx .mjs .cjs .py .rb .php .java .go .cs"
 JS = ".js .jsx .ts .tsx .mjs .cjs"
@@ -46,7 +46,7 @@ class Rule:
 
     @property
     def owasp(self) -> str:
-        return cwe_table().get(self.cwe, "A04")
+        return CWE_OWASP.get(self.cwe, DEFAULT_OWASP)
 
 
 def _p(*rows, **shared) -> tuple[Pattern, ...]:

@@ -171,11 +171,20 @@ OFFLINE = (
     ("RubyGems", "rails", "CVE-2022-32224", 9.8, "7.0.3.1", "Deserialization of YAML"),
     ("Go", "golang.org/x/crypto", "CVE-2020-29652", 7.5, "0.0.0-20201216223049", "Denial of service"),
 )
-#: Fixed values, first hit counts: words of a summary and the weakness they name.
+#: Fixed values, first hit counts: what a summary (lower case) speaks of and the weakness it stands for.
 SUMMARY_CWE = (
-    ("sql", "CWE-89"), ("cross-site scripting", "CWE-79"), ("xss", "CWE-79"), ("command", "CWE-78"), ("code execution", "CWE-94"), ("traversal", "CWE-22"),
-    ("prototype", "CWE-1321"), ("deserializ", "CWE-502"), ("denial of service", "CWE-400"), ("regular expression", "CWE-1333"), ("request forgery", "CWE-918"), ("disclosure", "CWE-200"),
-)
+    ("sql injection", "CWE-89"),
+    ("xss|cross.site", "CWE-79"),
+    ("rce|remote code|cod execution", "CWE-94"),
+    ("ssrf|server.side request", "CWE-918"),
+    ("path traversal", "CWE-22"),
+    ("dos|denial of service", "CWE-400"),
+    ("prototype pollution", "CWE-1321"),
+    ("csrf|cross.site request", "CWE-352"),
+    ("auth|bypass|privilege", "CWE-287"),
+    ("deserializ", "CWE-502"),
+    ("redirect", "CWE-601"),
+)
 
 
 def parse(name: str, text: str) -> list[Dep]:
@@ -237,7 +246,7 @@ def vulnerable(deps: DataFrame, advisories: DataFrame, fuzzy: bool = True, by_ve
 def findings(hits: DataFrame) -> DataFrame:
     cwe = F.lit("CWE-937")
     for word, c in reversed(SUMMARY_CWE):
-        cwe = F.when(F.contains(F.lower("summary"), F.lit(word)), c).otherwise(cwe)
+        cwe = F.when(F.lower("summary").rlike(word), c).otherwise(cwe)
     return hits.select(
         F.lit("dep-cve").alias("rule_id"), F.concat_ws(" ", "id", "name").alias("title"), severity_of(F.col("cvss")).alias("severity"), F.lit("certain").alias("confidence"),
         F.concat(F.col("name"), F.lit(" "), F.col("version"), F.lit(": "), F.col("summary")).alias("message"), F.col("manifest_file").alias("file"), "line", F.lit(1).alias("col"),

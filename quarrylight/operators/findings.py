@@ -41,9 +41,6 @@ RULE_SINKS = {
     "xxe": ["xxe"],
     "prototype-pollution": ["prototype"],
 }
-#: Rules whose default score is kept under another name.
-VECTOR_ALIASES = {"docker-root": "docker-security", "k8s-privileged": "k8s-security"}
-
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -84,8 +81,7 @@ def not_declared_nearby(graph: DataFrame, declared: DataFrame, band: int = BAND)
 
 def enrich(findings: DataFrame) -> DataFrame:
     """Category from the weakness and score from the rule, where they are not there yet."""
-    vectors = cvss.DEFAULT_VECTORS | {a: cvss.DEFAULT_VECTORS[r] for a, r in VECTOR_ALIASES.items()}
-    scores = findings.sparkSession.createDataFrame([(r, cvss.score(v)) for r, v in vectors.items()], f"rule_id string, _cvss {CVSS}")
+    scores = findings.sparkSession.createDataFrame([(r, cvss.score(v)) for r, v in cvss.DEFAULT_VECTORS.items()], f"rule_id string, _cvss {CVSS}")
     # one row per rule with a default
     out = findings.join(F.broadcast(scores), "rule_id", "left")
     return out.withColumns({"owasp": F.coalesce("owasp", cvss.owasp(F.col("cwe"))), "cvss": F.coalesce("cvss", "_cvss")}).drop("_cvss")
@@ -172,11 +168,19 @@ def delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(gone).unionByName(same)
 
 
+def report_key() -> Column:
+    """What report_order() orders by, as one value."""
+    return F.struct((-severity_rank(F.col("severity"))).alias("severity"), "file", "line", "seq", "rule_id")
+
+
+def occurrences(findings: DataFrame) -> DataFrame:
+    """Findings with the print of their snippet and the running number of equal ones within rule and file."""
+    w = W.partitionBy("rule_id", "file", "print").orderBy("line", "seq")
+    return findings.withColumn("print", F.substring(F.sha2(F.trim("snippet"), 256), 1, 8)).withColumn("occurrence", F.row_number().over(w) - 1)
+
+
 def rule_index(findings: DataFrame) -> DataFrame:
-    """Findings with the 0-based place of their rule in order of first appearance and the running number of equal
-    fingerprints. The first appearances are few, so numbering them is cheap."""
-    first = findings.groupBy("rule_id").agg(F.min("seq").alias("_seq"))
-    index = first.withColumn("rule_index", F.dense_rank().over(W.orderBy("_seq")) - 1).drop("_seq")  # one row per rule
-    print_ = F.substring(F.sha2(F.trim("snippet"), 256), 1, 8)
-    w = W.partitionBy("rule_id", "file", "print").orderBy("seq")
-    return findings.withColumn("print", print_).withColumn("occurrence", F.row_number().over(w) - 1).join(F.broadcast(index), "rule_id")
+    """Findings with the 0-based place of their rule in order of first appearance in the report, and occurrences()."""
+    first = findings.groupBy("rule_id").agg(F.min(report_key()).alias("_at"))
+    index = first.withColumn("rule_index", F.row_number().over(W.orderBy("_at")) - 1).drop("_at")  # one row per rule of the catalog
+    return occurrences(findings).join(F.broadcast(index), "rule_id")

@@ -7,7 +7,7 @@ files out that no rule reads.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,14 +116,17 @@ def _type(name: str) -> pa.DataType:
 TYPES = [_type(x.split()[1]) for x in MATCHES.split(", ")]
 
 
-def match_rows(lines: DataFrame, patterns: DataFrame, bounded: bool = True) -> DataFrame:
-    """Lines theta-joined with a small table of RE2-compatible patterns (rule_id, regex): matches per line and pattern, inside
-    the JVM. For catalogs whose matches need neither masks nor positions."""
-    # a pattern catalog is a fixed dimension of a few rows
-    return (
-        lines.join(F.broadcast(patterns), F.col("text").rlike(F.col("regex")) if not bounded else F.expr("regexp_like(text, regex)"))
-        .select("*", F.regexp_count("text", F.col("regex")).alias("n"))
-    )
+def match_rows(lines: DataFrame, patterns: Sequence[Mapping[str, str]]) -> DataFrame:
+    """lines with a row for each of the patterns (rule_id, regex and what else is said of it) that its text holds, and how often: n.
+    Patterns are literals of one projection, so that the JVM compiles each once and nothing is joined. For catalogs whose matches
+    need neither masks nor positions."""
+    text = F.col("text")
+
+    def hit(p: Mapping[str, str]):
+        said = [F.lit(v).alias(k) for k, v in p.items() if k != "regex"]
+        return F.when(text.rlike(p["regex"]), F.struct(*said, F.regexp_count(text, F.lit(p["regex"])).alias("n")))
+
+    return lines.select("*", F.explode(F.array_compact(F.array(*map(hit, patterns)))).alias("hit")).select(*lines.columns, "hit.*")
 
 
 def custom_rules(files: DataFrame, rules: list[dict]) -> DataFrame:

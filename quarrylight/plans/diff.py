@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,36 +15,55 @@ NEAR = 20
 DIFF = "file string, rule_id string, line int, before_line int, classification string, severity string, before_severity string, seq bigint"
 
 
-def _compare(key: tuple, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
+def matched(before: list[tuple], after: list[tuple]) -> Iterator[tuple]:
+    """Rows of one rule in one file, (line, severity, seq) in order: each later one with the nearest free earlier one less than NEAR
+    lines away, the first of equally near ones."""
     rank = {s: i for i, s in enumerate(SEVERITIES)}
-    b = before.sort_values(["line", "seq"]).to_dict("records")
-    free = list(range(len(b)))
-    out = []
-    for a in after.sort_values(["line", "seq"]).to_dict("records"):
-        best = min((i for i in free if abs(b[i]["line"] - a["line"]) < NEAR), key=lambda i: abs(b[i]["line"] - a["line"]), default=None)
+    at, free = [b[0] for b in before], [True] * len(before)
+    for line, severity, seq in after:
+        near = range(bisect_right(at, line - NEAR), bisect_left(at, line + NEAR))
+        best = min((i for i in near if free[i]), key=lambda i: abs(at[i] - line), default=None)
         if best is None:
-            out.append((a["line"], None, "introduced", a["severity"], None, a["seq"]))
+            yield line, None, "introduced", severity, None, seq
             continue
-        free.remove(best)
-        old = b[best]
-        d = rank.get(a["severity"], 0) - rank.get(old["severity"], 0)
-        out.append((a["line"], old["line"], "worsened" if d > 0 else "improved" if d < 0 else "persisted", a["severity"], old["severity"], a["seq"]))
+        free[best] = False
+        d = rank.get(severity, 0) - rank.get(before[best][1], 0)
+        yield line, at[best], "worsened" if d > 0 else "improved" if d < 0 else "persisted", severity, before[best][1], seq
     seen = set()
-    for i in free:
-        if b[i]["line"] not in seen:
-            seen.add(b[i]["line"])
-            out.append((None, b[i]["line"], "resolved", None, b[i]["severity"], b[i]["seq"]))
-    pdf = pd.DataFrame(out, columns=["line", "before_line", "classification", "severity", "before_severity", "seq"])
-    pdf.insert(0, "rule_id", key[1])
-    pdf.insert(0, "file", key[0])
-    return pdf.astype({"line": "Int32", "before_line": "Int32"})
+    for i, (line, severity, seq) in enumerate(before):
+        if free[i] and line not in seen:
+            seen.add(line)
+            yield None, line, "resolved", None, severity, seq
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Findings matched one to one within file and rule, each later one with the nearest free earlier one less than 20 lines away.
-    A group is one rule in one file, so it fits a task."""
+    """Findings matched one to one within file and rule. Both sides are dealt by file and rule and sorted, and a task goes through
+    its rows once, so that it holds one rule's findings in one file at a time."""
     cols = ["file", "rule_id", "line", "severity", "seq"]
-    return before.select(cols).groupBy("file", "rule_id").cogroup(after.select(cols).groupBy("file", "rule_id")).applyInPandas(_compare, DIFF)
+    both = before.select(*cols, F.lit(False).alias("later")).unionByName(after.select(*cols, F.lit(True).alias("later")))
+    both = both.repartition("file", "rule_id").sortWithinPartitions("file", "rule_id", "later", "line", "seq")
+    names = [x.split()[0] for x in DIFF.split(", ")]
+    types = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[x.split()[1]] for x in DIFF.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            out = []
+            for file, rule, line, severity, seq, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, rule) != key:
+                    out += [(*key, *x) for x in matched(*sides)] if key else []
+                    key, sides = (file, rule), ([], [])
+                sides[later].append((line, severity, seq))
+            if out:
+                yield table(out)
+        if key:
+            yield table([(*key, *x) for x in matched(*sides)])
+
+    return both.mapInArrow(run, DIFF)
 
 
 def summary(diff: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import catalog, findings
+from ..operators import catalog, findings, structural
 from ..schema import FINDINGS, MANIFEST
 from ..sources import state
 from .scan import ScanOptions, conformed, raw_findings
@@ -24,7 +24,8 @@ def config_hash(o: ScanOptions) -> str:
 
 
 def rules_hash(o: ScanOptions) -> str:
-    return _hash([[r.rule_id, r.severity, [(p.regex, p.mode, p.requires, p.unless) for p in r.patterns]] for r in catalog.RULES] + [sorted(o.custom, key=lambda r: r["id"])])
+    """Of every field of every rule and pattern, of the structural ones and of the user's."""
+    return _hash([[asdict(r) for r in catalog.RULES], structural.PATTERNS, sorted(o.custom, key=lambda r: r["id"])])
 
 
 def _hash(what: object) -> str:
@@ -77,11 +78,10 @@ def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     return m.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("finding_count").alias("findings"), F.min("last_scan").alias("oldest"), F.max("last_scan").alias("newest"))
 
 
-def clear_cache(folder: str) -> None:
-    import shutil
-
+def clear_cache(folder: str, spark: SparkSession | None = None) -> None:
+    """Forget all files, whatever store the folder is in."""
     for name in ("manifest", "findings"):
-        shutil.rmtree(os.path.join(folder, name), ignore_errors=True)
+        state.clear(spark or SparkSession.active(), f"{folder}/{name}")
 
 
 def snapshot(found: DataFrame, snapshot_id: str) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import cvss
 from ..functions.scalar import anonymized, ascii_bounded, code_hash, finding_key, html_escaped, is_prose, look_up, severity_rank
 from ..operators import callgraph, deps, findings, graph, match, secrets, ssa, triage
+from .. import sinks
 from ..sources import files as sources
+from ..sources import state
 from ..streaming import watch
 from . import diff, incremental
+from .scan import ScanOptions, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,13 +61,12 @@ _CATALOG = f"catalog(rule_id, regex, severity, confidence, cwe) AS (VALUES {_VAL
 _HITS = f"{_LINES}, {_CATALOG}, hits AS (SELECT file, line, text, rule_id, severity, confidence, cwe, len(regexp_extract_all(text, regex)) AS n FROM lines, catalog WHERE regexp_matches(text, regex))"
 
 
-def catalog_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r, j, s, c, w) for r, j, _, s, c, w in CATALOG], "rule_id string, regex string, severity string, confidence string, cwe string")
+PATTERNS = [{"rule_id": r, "regex": j, "severity": s, "confidence": c, "cwe": w} for r, j, _, s, c, w in CATALOG]
 
 
 def doc_hits(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents that the catalog matches: file, line, text, rule_id, severity, confidence, cwe, n."""
-    return match.match_rows(sources.lines(doc_files(spark, d)), catalog_df(spark)).drop("regex")
+    return match.match_rows(sources.lines(doc_files(spark, d)), PATTERNS)
 
 
 def doc_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +80,7 @@ def _case(column: str, table_: dict, default: str = "NULL") -> str:
 
 
 _RANK = "CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
-_OWASP = _case("cwe", cvss.cwe_table(), "'A04'")
+_OWASP = _case("cwe", cvss.CWE_OWASP, "'A04'")
 
 
 @query(f"WITH {_LINES} SELECT file, CAST(line AS INT) AS line, text FROM lines")
@@ -143,8 +145,8 @@ _STOP = "['" + "','".join(__import__("quarrylight.functions.scalar", fromlist=["
 
 
 @query(
-    f"""WITH t AS (SELECT conv_id, turn, text, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '') AS words FROM conversations WHERE text IS NOT NULL),
-s AS (SELECT *, len(list_filter(words, lambda w: list_contains({_STOP}, w))) AS known, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 1.0 / greatest(len(text), 1) AS letters FROM t)
+    f"""WITH t AS (SELECT conv_id, turn, text, string_split_regex(lower(text), '[ \\t\\r\\n\\f\\x0B]+') AS words FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT *, len(list_filter(words, lambda w: list_contains({_STOP}, regexp_replace(w, '[^a-z]', '', 'g')))) AS known, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 1.0 / greatest(len(text), 1) AS letters FROM t)
 SELECT conv_id, turn, CASE WHEN len(words) < 3 THEN false WHEN known >= 2 THEN true ELSE contains(text, ' ') AND letters > 0.6 AND letters < 0.9 END AS prose FROM s"""
 )
 def natural_language_turns(spark, d):
@@ -153,8 +155,8 @@ def natural_language_turns(spark, d):
 
 @query(
     f"""WITH b AS (SELECT 'doc/' || doc_id AS file, text FROM documents UNION ALL SELECT 'turn/' || conv_id || '/' || turn, text FROM conversations),
-t AS (SELECT file, text, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '') AS words FROM b WHERE text IS NOT NULL),
-s AS (SELECT *, len(list_filter(words, lambda w: list_contains({_STOP}, w))) AS known, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 1.0 / greatest(len(text), 1) AS letters FROM t)
+t AS (SELECT file, text, string_split_regex(lower(text), '[ \\t\\r\\n\\f\\x0B]+') AS words FROM b WHERE text IS NOT NULL),
+s AS (SELECT *, len(list_filter(words, lambda w: list_contains({_STOP}, regexp_replace(w, '[^a-z]', '', 'g')))) AS known, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 1.0 / greatest(len(text), 1) AS letters FROM t)
 SELECT file, CASE WHEN len(words) < 3 THEN false WHEN known >= 2 THEN true ELSE contains(text, ' ') AND letters > 0.6 AND letters < 0.9 END AS prose FROM s"""
 )
 def natural_language_docs(spark, d):
@@ -174,7 +176,7 @@ _PAGE_LINES = "pl AS (SELECT 'page/' || page_id || '.html' AS file, unnest(range
 
 @query(f"WITH {_PAGE_LINES}, {_CATALOG} SELECT file, CAST(line AS INT) AS line, rule_id, CAST(len(regexp_extract_all(text, regex)) AS INT) AS n FROM pl, catalog WHERE regexp_matches(text, regex)")
 def pattern_match_pages(spark, d):
-    return match.match_rows(sources.lines(page_files(spark, d)), catalog_df(spark)).select("file", "line", "rule_id", "n")
+    return match.match_rows(sources.lines(page_files(spark, d)), PATTERNS).select("file", "line", "rule_id", "n")
 
 
 @query()
@@ -322,11 +324,17 @@ def triage_stats(spark, d):
     return triage.stats(_verdicts(spark, d))
 
 
-@query(f"WITH {_TRIAGE} SELECT doc_id FROM j WHERE triage_state IN ('new', 'stale') ORDER BY CAST(doc_id AS VARCHAR) LIMIT 25")
+def _marked(marks):
+    return " + ".join(f"CAST(regexp_matches(text, '{rx.replace(chr(39), chr(39) * 2)}') AS INT)" for rx, _ in marks)
+
+
+@query(
+    f"""WITH {_TRIAGE}, q AS (SELECT doc_id, {_marked(triage.FALSE_MARKS)} AS no_, {_marked(triage.TRUE_MARKS)} AS yes_ FROM j JOIN documents USING (doc_id) WHERE triage_state IN ('new', 'stale'))
+SELECT doc_id, CASE WHEN yes_ > no_ THEN 'high' WHEN no_ > yes_ THEN 'low' ELSE 'medium' END AS priority FROM q
+ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CAST(doc_id AS VARCHAR) LIMIT 25"""
+)
 def review_queue(spark, d):
-    f = _doc_rows(spark, d).withColumns({"snippet": F.col("snippet")})
-    j = triage.judged(f, _verdicts(spark, d)).where("triage_state in ('new', 'stale')")
-    return j.orderBy(severity_rank(F.col("severity")).desc(), "file").limit(25).select("doc_id")
+    return triage.review_queue(_doc_rows(spark, d), _verdicts(spark, d)).select("doc_id", "priority")
 
 
 def _two_versions(spark, d):
@@ -347,15 +355,69 @@ def change_detection(spark, d):
     return incremental.changes(now, then)
 
 
-@query(f"WITH {_CHANGES}, {_HITS} SELECT file, rule_id, count(*) AS n FROM hits WHERE CAST(regexp_extract(file, '([0-9]+)', 1) AS BIGINT) % 9 <> 1 GROUP BY 1, 2")
+#: The catalog as rules of a user, so that the whole scan runs on what SQL can say too.
+USER_RULES = tuple({"id": r, "name": r, "severity": s, "confidence": c, "cwe": w, "extensions": ["*"], "patterns": [{"regex": rx}], "falsePositiveRisk": "low"} for r, _, rx, s, c, w in CATALOG)
+USER_SCAN = ScanOptions(rules=[r["id"] for r in USER_RULES], custom=USER_RULES, entropy=False, deps=False, taint=False)
+_SCANNED = f"{_LINES}, {_CATALOG}, scanned AS (SELECT file, line, rule_id, severity, confidence, cwe, text, unnest(regexp_extract_all(text, '(?i)' || regex)) AS hit FROM lines, catalog WHERE regexp_matches(text, '(?i)' || regex))"
+
+
+@query(f"WITH {_SCANNED} SELECT rule_id, file, CAST(line AS INT) AS line, severity, confidence, cwe, count(*) AS n FROM scanned GROUP BY ALL")
+def full_scan_docs(spark, d):
+    """The whole scan of all documents under the catalog as a user's rules."""
+    return scan(doc_files(spark, d), USER_SCAN).groupBy("rule_id", "file", "line", "severity", "confidence", "cwe").agg(F.count("*").alias("n"))
+
+
+@query()
+def full_scan_pages(spark, d):
+    """The whole scan of all pages, every rule and engine."""
+    return scan(page_files(spark, d)).groupBy("rule_id", "severity", "confidence", "engine").agg(F.count("*").alias("n"))
+
+
+def modules(spark, d):
+    """A module of source for each part: a handler with a query, a digest and a helper in the same file, safe or not by the part's
+    size."""
+    t = table(spark, d, "part").where("p_partkey is not null and p_size is not null")
+    n = F.col("p_partkey").cast("string")
+    query_ = F.when(F.col("p_size") % 2 == 0, "'SELECT * FROM t WHERE id = ' + id").otherwise("'SELECT * FROM t WHERE id = ?', [id]")
+    digest = F.when(F.col("p_size") % 3 == 0, "md5").otherwise("sha256")
+    lines = [
+        (F.lit("const db = require('./db');"),),
+        (F.lit("function handle"), n, F.lit("(req, res) {")),
+        (F.lit("  const id = req.query.id;"),),
+        (F.lit("  db.query("), query_, F.lit(");")),
+        (F.lit("  const h = crypto.createHash('"), digest, F.lit("').update(id);")),
+        (F.lit("  return helper"), n, F.lit("(h);")),
+        (F.lit("}"),),
+        (F.lit("function helper"), n, F.lit("(x) {")),
+        (F.lit("  return x;"),),
+        (F.lit("}"),),
+        (F.lit("module.exports = { handle"), n, F.lit(" };"),),
+    ]
+    code = F.concat_ws("\n", *[F.concat(*x) for x in lines])
+    return t.select(F.format_string("src/m%d.js", "p_partkey").alias("name"), code.alias("code"))
+
+
+@query(
+    """WITH m AS (SELECT 'src/m' || p_partkey || '.js' AS file, p_size FROM part WHERE p_partkey IS NOT NULL)
+SELECT file, 'insecure-crypto' AS rule_id, 5 AS line FROM m WHERE p_size % 3 = 0 UNION ALL SELECT file, 'sql-injection', 4 FROM m WHERE p_size % 2 = 0"""
+)
+def scan_modules(spark, d):
+    """A module of source for every part, scanned by every rule and engine; the two planted flaws by file and line."""
+    files = sources.of_table(modules(spark, d), F.col("name"), "code")
+    return scan(files).where(F.col("rule_id").isin("sql-injection", "insecure-crypto")).select("file", "rule_id", "line")
+
+
+@query(f"WITH {_CHANGES}, {_SCANNED} SELECT file, rule_id, count(*) AS n FROM scanned WHERE CAST(regexp_extract(file, '([0-9]+)', 1) AS BIGINT) % 9 <> 1 GROUP BY 1, 2")
 def incremental_equals_full(spark, d):
-    """Findings of changed files united with kept ones of unchanged files."""
-    then, now = _two_versions(spark, d)
-    ch = incremental.changes(now, then).select(F.concat(F.lit("doc/"), "file", F.lit(".txt")).alias("file"), "change")
-    files, rules = doc_files(spark, d), catalog_df(spark)
-    fresh = match.match_rows(sources.lines(files.join(ch.where("change in ('added', 'modified')"), "file", "left_semi")), rules)
-    cached = match.match_rows(sources.lines(files), rules).join(ch.where("change = 'unchanged'"), "file", "left_semi")
-    return fresh.unionByName(cached).groupBy("file", "rule_id").agg(F.count("*").alias("n"))
+    """The corpus as it was is scanned into a cache; the scan of the corpus as it is takes what has not changed from there."""
+    n = F.regexp_extract("file", "([0-9]+)", 1).cast("long")
+    files = doc_files(spark, d)
+    then = F.when(n % 11 == 1, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    old = sources.of_table(files.where(n % 7 != 1).select("file", then.alias("text")), F.col("file"), "text")
+    folder = state.scratch(spark, "scans")
+    incremental.scan_incremental(old, folder, USER_SCAN)
+    found = incremental.scan_incremental(files.where(n % 9 != 1), folder, USER_SCAN)
+    return found.groupBy("file", "rule_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -548,18 +610,19 @@ def latest_verdict(spark, d):
     return findings.first_per(table(spark, d, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")
 
 
-@query(f"WITH {_HITS}, f AS (SELECT rule_id, min(file || ':' || line) AS first FROM hits GROUP BY 1) SELECT rule_id, CAST(dense_rank() OVER (ORDER BY first, rule_id) - 1 AS INT) AS rule_index FROM f")
+@query(
+    f"""WITH {_HITS}, f AS (SELECT rule_id, file, line, text, row_number() OVER (ORDER BY {_RANK} DESC, file, line, rule_id) AS place FROM hits),
+r AS (SELECT rule_id, dense_rank() OVER (ORDER BY first_place) - 1 AS k FROM (SELECT rule_id, min(place) AS first_place FROM f GROUP BY 1)),
+o AS (SELECT rule_id, file, line, row_number() OVER (PARTITION BY rule_id, file, sha256(trim(substr(trim(text), 1, 150))) ORDER BY line) - 1 AS n FROM f)
+SELECT rule_id, file, CAST(line AS INT) AS line, CAST(k AS INT) AS rule_index, CAST(n AS INT) AS occurrence FROM o JOIN r USING (rule_id)"""
+)
 def sarif_rule_index(spark, d):
-    f = doc_hits(spark, d).withColumns({"seq": F.concat_ws(":", "file", F.col("line").cast("string")), "snippet": F.col("text")})
-    first = f.groupBy("rule_id").agg(F.min(F.struct("seq", "rule_id")).alias("at"))
-    return first.select("rule_id", (F.dense_rank().over(W.orderBy("at")) - 1).alias("rule_index"))  # one row per rule
+    return sinks.sarif_rows(doc_findings(spark, d)).select("rule_id", "file", "line", "rule_index", "occurrence")
 
 
-@query(f"WITH {_HITS} SELECT rule_id, substr(sha256(trim(text)), 1, 8) AS print, CAST(max(o) AS INT) AS last FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, sha256(trim(text)) ORDER BY file, line) - 1 AS o FROM hits) GROUP BY 1, 2")
+@query(f"WITH {_HITS}, p AS (SELECT rule_id, file, line, substr(sha256(trim(substr(trim(text), 1, 150))), 1, 8) AS print FROM hits) SELECT rule_id, print, CAST(max(o) AS INT) AS last FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, file, print ORDER BY line) - 1 AS o FROM p) GROUP BY 1, 2")
 def occurrence_fingerprint(spark, d):
-    f = doc_hits(spark, d).withColumn("print", F.substring(F.sha2(F.trim("text"), 256), 1, 8))
-    w = W.partitionBy("rule_id", "print").orderBy("file", "line")
-    return f.withColumn("o", F.row_number().over(w) - 1).groupBy("rule_id", "print").agg(F.max("o").alias("last"))
+    return findings.occurrences(doc_findings(spark, d)).groupBy("rule_id", "print").agg(F.max("occurrence").alias("last"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import callgraph, catalog, deps, findings, graph, match, secrets, structural, triage
 from ..schema import CONFIDENCES, FINDINGS, SEVERITIES
+from ..sources import state
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,10 @@ def raw_findings(files: DataFrame, options: ScanOptions | None = None, advisorie
         out = findings.dedupe_engines(conformed(structural.structural(files, asked or None)), out)
     if o.custom:
         out = out.unionByName(conformed(match.custom_rules(files, list(o.custom))))
-    # the other engines are held against these, so they are computed once and kept, on disk where memory is short
-    declared = out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    others = o.taint and o.wants("interproc-taint", *findings.RULE_SINKS) or o.entropy and o.wants("hardcoded-secrets") or o.deps and o.wants("dependency-vuln")
+    # the other engines are held against these, so they are computed once and written; a cache would outlive the scan and answer
+    # for files that have changed since
+    declared = out = state.checkpoint(out) if others else out
     if o.taint and o.wants("interproc-taint", *findings.RULE_SINKS):
         traced = conformed(callgraph.trace_findings(callgraph.line_traces(files)))
         paths = conformed(findings.first_per(graph.findings(graph.taint(files)), ["file", "rule_id", "line"], F.col("seq")))
@@ -63,7 +65,8 @@ def raw_findings(files: DataFrame, options: ScanOptions | None = None, advisorie
         out = out.unionByName(found.join(same_line, ["file", "line"], "left_anti"))
     if o.deps and o.wants("dependency-vuln"):
         a = advisories if advisories is not None else deps.offline_advisories(files.sparkSession)
-        out = out.unionByName(conformed(deps.findings(deps.vulnerable(deps.dependencies(files), a))))
+        found = conformed(deps.findings(deps.vulnerable(deps.dependencies(files), a)))
+        out = out.unionByName(found.join(declared.select("file", "line", "col", "rule_id").distinct(), ["file", "line", "col", "rule_id"], "left_anti"))
     return out
 
 

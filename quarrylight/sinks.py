@@ -23,11 +23,16 @@ def write_json(found: DataFrame, path: str) -> None:
     found.write.mode("overwrite").json(path)
 
 
+def _bounded(rows: DataFrame) -> list[dict]:
+    """Rows for one document; more than it may hold raise, nothing is cut."""
+    out = [r.asDict(recursive=True) for r in rows.limit(DOCUMENT_ROWS + 1).collect()]
+    if len(out) > DOCUMENT_ROWS:
+        raise ValueError(f"more than {DOCUMENT_ROWS} rows; write them as a table")
+    return out
+
+
 def _rows(found: DataFrame) -> list[dict]:
-    rows = [r.asDict(recursive=True) for r in ops.report_order(found).limit(DOCUMENT_ROWS + 1).collect()]
-    if len(rows) > DOCUMENT_ROWS:
-        raise ValueError(f"more than {DOCUMENT_ROWS} findings; write them as a table")
-    return rows
+    return _bounded(ops.report_order(found))
 
 
 def counts(found: DataFrame) -> dict[str, dict[str, int]]:
@@ -57,7 +62,7 @@ def sarif_rows(found: DataFrame, root: str = "") -> DataFrame:
 
 
 def to_sarif(found: DataFrame, root: str = "") -> str:
-    rows = [r.asDict(recursive=True) for r in sarif_rows(found, root).orderBy("seq", "file", "line", "rule_id").limit(DOCUMENT_ROWS).collect()]
+    rows = _rows(sarif_rows(found, root))
     rules = sorted({r["rule_index"]: r for r in reversed(rows)}.items())
     precision = {"certain": "very-high"}
     return json.dumps(
@@ -121,8 +126,8 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> str:
     fill = {"FILE": "lightgrey", "FUNCTION": "lightblue", "CALL_SITE": "lightyellow", "ASSIGNMENT": "lightgreen", "PARAMETER": "lavender"}
     line = {"DATA_FLOW": "bold", "CONTROL_FLOW": "dashed", "CALLS": "dotted"}
     quote = lambda s: json.dumps((s or "")[:40])
-    out = [f"  {r['id']} [label={quote(r['type'] + ' ' + (r['label'] or ''))}, style=filled, fillcolor={fill.get(r['type'], 'white')}];" for r in nodes.select("id", "type", "label").orderBy("id").limit(DOCUMENT_ROWS).collect()]
-    out += [f"  {r['src']} -> {r['dst']} [label={quote(r['type'])}, style={line.get(r['type'], 'solid')}];" for r in edges.select("src", "dst", "type").orderBy("src", "dst", "type").limit(DOCUMENT_ROWS).collect()]
+    out = [f"  {r['id']} [label={quote(r['type'] + ' ' + (r['label'] or ''))}, style=filled, fillcolor={fill.get(r['type'], 'white')}];" for r in _bounded(nodes.select("id", "type", "label").orderBy("id"))]
+    out += [f"  {r['src']} -> {r['dst']} [label={quote(r['type'])}, style={line.get(r['type'], 'solid')}];" for r in _bounded(edges.select("src", "dst", "type").orderBy("src", "dst", "type"))]
     return "digraph code {\n" + "\n".join(out) + "\n}\n"
 
 

@@ -18,7 +18,7 @@ EXCLUDED = (
     "*.map *.lock"
 ).split()
 #: Names that are read whatever the extensions asked for.
-SPECIAL = ("dockerfile", "makefile", "jenkinsfile", "gemfile", "pipfile", "vagrantfile")
+SPECIAL = ("dockerfile", ".dockerfile", ".dockerignore", "makefile", "jenkinsfile", "gemfile", "rakefile", "pipfile", "vagrantfile")
 
 
 def _columns(path: Column, content: Column, size: Column) -> list[Column]:
@@ -42,28 +42,47 @@ def excluded(path: Column, patterns: Iterable[str], root: str = "") -> Column:
     return out
 
 
+def chosen(path: Column, size: Column, root: str, extensions: Iterable[str] = (), exclude: Iterable[str] = (), max_size: int = MAX_SIZE) -> Column:
+    """Is a file below root read? Every walk, of a folder or of a revision, asks this."""
+    base = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
+    keep = (size <= max_size) & ~excluded(path, [*EXCLUDED, *exclude], root)
+    exts = [e.lower() for e in extensions]
+    return keep & (F.regexp_extract(base, r".(\.[^.]*)$", 1).isin(exts) | base.isin(list(SPECIAL))) if exts else keep
+
+
+def _texts(raw: DataFrame, path: Column) -> DataFrame:
+    """Binary files as rows of text. A file with a zero byte is no text and is left out; bytes that are not UTF-8 are replaced."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return raw.where(~F.contains("content", F.lit(b"\0"))).select(*_columns(path, text, F.col("length")))
+
+
+def _local(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def of_directory(spark: SparkSession, root: str, extensions: Iterable[str] = (), exclude: Iterable[str] = (), max_size: int = MAX_SIZE) -> DataFrame:
     """Files below a directory. Size and name are filtered in the scan, before contents are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_size)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    base = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
-    top = "/" + root.replace("file:", "").strip("/") + "/"
-    raw = raw.where(~excluded(path, [*EXCLUDED, *exclude], top))
-    exts = [e.lower() for e in extensions]
-    if exts:
-        raw = raw.where(F.regexp_extract(base, r"(\.[^.]*)$", 1).isin(exts) | base.isin(list(SPECIAL)))
-    return raw.select(*_columns(path, F.decode("content", "UTF-8"), F.col("length")))
+    path = _local(F.col("path"))
+    top = root.rstrip("/") + "/" if "://" in root else "/" + root.removeprefix("file:").strip("/") + "/"
+    return _texts(raw.where(chosen(path, F.col("length"), top, extensions, exclude, max_size)), path)
 
 
 def of_paths(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Named files, excluded folders or not; named directories are walked."""
-    import os
-
-    parts = [of_directory(spark, p, **options) for p in paths if os.path.isdir(p)]
-    named = [p for p in paths if os.path.isfile(p)]
+    """Named files, excluded folders or not; named directories are walked. Names are looked up by Spark's file systems, so that
+    they may lie in any store."""
+    parts, named = [], []
+    for p in paths:
+        name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(name):
+            if fs.getFileStatus(name).isDirectory():
+                parts.append(of_directory(spark, p, **options))
+            else:
+                named.append(p)
     if named:
         raw = spark.read.format("binaryFile").load(named).where(F.col("length") <= options.get("max_size", MAX_SIZE))
-        parts.append(raw.select(*_columns(F.regexp_replace("path", "^file:/*", "/"), F.decode("content", "UTF-8"), F.col("length"))))
+        parts.append(_texts(raw, _local(F.col("path"))))
     out = spark.createDataFrame([], FILES)
     for p in parts:
         out = out.unionByName(p)
@@ -72,7 +91,7 @@ def of_paths(spark: SparkSession, paths: list[str], **options) -> DataFrame:
 
 def of_table(df: DataFrame, file: Column, content: str) -> DataFrame:
     """A text column of a table as files. A null text is no file."""
-    return df.where(F.col(content).isNotNull()).select(*_columns(file, F.col(content), F.length(F.col(content))))
+    return df.where(F.col(content).isNotNull()).select(*_columns(file, F.col(content), F.octet_length(F.col(content))))
 
 
 def of_rows(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
@@ -87,7 +106,11 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def _git(folder: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True, timeout=120).stdout
+    return _git_bytes(folder, *args).decode("utf-8", "surrogateescape")
+
+
+def _git_bytes(folder: str, *args: str, given: bytes | None = None) -> bytes:
+    return subprocess.run(["git", "-C", folder, *args], input=given, capture_output=True, check=True, timeout=600).stdout
 
 
 def is_repository(folder: str) -> bool:
@@ -105,9 +128,10 @@ def resolve_revision(folder: str, revision: str) -> str | None:
 
 
 def changed_files(spark: SparkSession, folder: str, base: str = "HEAD", target: str | None = None, staged: bool = False) -> DataFrame:
-    """Paths added, copied, modified or renamed against a revision (or staged), as a table to semi-join files with."""
-    args = ["diff", "--name-only", "--diff-filter=ACMR", *(["--cached"] if staged else [base]), *([target] if target else [])]
-    names = [(f"{folder.rstrip('/')}/{n}",) for n in _git(folder, *args).splitlines() if n]
+    """Paths added, copied, modified or renamed against a revision (or staged), as a table to semi-join files with. Names are
+    those below `folder`, which may lie inside a repository."""
+    args = ["diff", "--relative", "-z", "--name-only", "--diff-filter=ACMR", *(["--cached"] if staged else [base]), *([target] if target else [])]
+    names = [(f"{folder.rstrip('/')}/{n}",) for n in _git(folder, *args).split("\0") if n]
     return spark.createDataFrame(names, "file string")
 
 
@@ -115,7 +139,18 @@ def diff_stat(folder: str, base: str, target: str = "HEAD") -> str:
     return _git(folder, "diff", "--stat", base, target)
 
 
-def of_revision(spark: SparkSession, folder: str, revision: str) -> DataFrame:
-    """Files of a revision. Names and texts come from the object store; the working tree is not touched."""
-    names = _git(folder, "ls-tree", "-r", "--name-only", revision).splitlines()
-    return of_rows(spark, [(n, _git(folder, "show", f"{revision}:{n}")) for n in names])
+def of_revision(spark: SparkSession, folder: str, revision: str, extensions: Iterable[str] = (), exclude: Iterable[str] = (), max_size: int = MAX_SIZE) -> DataFrame:
+    """Files of a revision below folder, by the same choice as of_directory. Names, sizes and texts come from the object store; the
+    working tree is not touched. Only chosen files are read, all by one process."""
+    listed = [x.split("\t", 1) for x in _git(folder, "ls-tree", "-r", "-l", "-z", revision).split("\0") if x]
+    rows = [(*meta.split()[1:], name) for meta, name in listed]
+    blobs = spark.createDataFrame([(name, oid, int(size)) for kind, oid, size, name in rows if kind == "blob"], "name string, oid string, size long")
+    wanted = [(r["name"], r["oid"]) for r in blobs.where(chosen(F.col("name"), F.col("size"), "", extensions, exclude, max_size)).select("name", "oid").collect()]
+    said = _git_bytes(folder, "cat-file", "--batch", given="".join(f"{oid}\n" for _, oid in wanted).encode())
+    out, at = [], 0
+    for name, _ in wanted:
+        head = said.index(b"\n", at)
+        size = int(said[at:head].split()[2])
+        out.append((name, said[head + 1 : head + 1 + size], size))
+        at = head + size + 2
+    return _texts(spark.createDataFrame(out, "name string, content binary, length long"), F.col("name"))
