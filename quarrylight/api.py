@@ -70,7 +70,15 @@ init_example_rules = user_rules.write_examples
 export_report = sinks.export
 cache_stats = incremental.cache_stats
 clear_cache = incremental.clear_cache
-apply_fix = sinks.apply_fix
+
+
+def apply_fix(path: str, old: str, new: str, line: int | None = None, spark: SparkSession | None = None) -> dict:
+    """Patch a file and, where a session is given, scan it again: where the text stood and what is still found."""
+    out: dict = {"file": path, "line": sinks.apply_fix(path, old, new, line)}
+    if spark is not None:
+        after = scan(sources.of_paths(spark, [path]), ScanOptions(deps=False))
+        out |= {"remaining": after.count(), "findings": [r.asDict() for r in brief(after).limit(10).collect()]}
+    return out
 
 
 def brief(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -323,7 +324,16 @@ def findings(paths: DataFrame) -> DataFrame:
     )
 
 
+def reach_stats(paths: DataFrame) -> DataFrame:
+    """One row over taint(): paths, sinks that a source reaches, and the mean number of steps."""
+    return paths.agg(F.count("*").alias("paths"), F.count_distinct("file", "line", "sink").alias("reachable_sinks"), F.coalesce(F.avg(F.size("path")), F.lit(0.0)).alias("mean_length"))
+
+
 def dangerous_calls(n: DataFrame, regex: str, category: str) -> DataFrame:
     """Call sites of a pattern without those of a safe shape."""
-    safe = F.udf(lambda code: shapes.safe_sink(category, code or ""), "boolean")
+
+    @F.pandas_udf("boolean")
+    def safe(codes: pd.Series) -> pd.Series:
+        return pd.Series([shapes.safe_sink(category, code or "") for code in codes], dtype=bool)
+
     return n.where((F.col("type") == "CALL_SITE") & F.col("code").rlike(regex)).where(~safe("code"))

@@ -117,25 +117,13 @@ def anonymized_secrets(spark, d):
 _LITERAL_RE = r"""\"(?:[^\"\\\n]|\\.)*\"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\.)*`"""
 
 
-@query(
-    f"""WITH f AS (SELECT 'page/' || page_id || '.html' AS file, html AS content FROM pages), l AS (SELECT file, unnest(regexp_extract_all(content, '{_LITERAL_RE}')) AS q FROM f),
-v AS (SELECT row_number() OVER () AS k, file, substr(substr(q, 2, len(q) - 2), 1, 200) AS value FROM l), c AS (SELECT k, file, value FROM v WHERE len(value) BETWEEN 16 AND 512),
-ch AS (SELECT k, x, count(*) AS n FROM (SELECT k, unnest(string_split(value, '')) AS x FROM c) WHERE x <> '' GROUP BY k, x), e AS (SELECT k, -sum(n / len(value) * log2(n / len(value))) AS h FROM ch JOIN c USING (k) GROUP BY k)
-SELECT file, value, round(h, 5) AS entropy FROM c JOIN e USING (k) WHERE h >= 4.0"""
-)
-def generic_secret_literals(spark, d):
-    s = secrets.scored(secrets.literals(page_files(spark, d)).where((F.length("value") >= secrets.LEAST) & (F.length("value") <= secrets.MOST)))
-    return s.where("entropy >= 4.0").select("file", "value", F.round("entropy", 5).alias("entropy"))
-
-
 @query(
     f"""WITH f AS (SELECT 'page/' || page_id || '.html' AS file, html AS content FROM pages UNION ALL SELECT 'doc/' || doc_id || '.txt', text FROM documents), l AS (SELECT file, unnest(regexp_extract_all(content, '{_LITERAL_RE}')) AS q FROM f),
 v AS (SELECT row_number() OVER () AS k, file, substr(substr(q, 2, len(q) - 2), 1, 200) AS value FROM l), c AS (SELECT k, file, value FROM v WHERE len(value) BETWEEN 16 AND 512),
 ch AS (SELECT k, x, count(*) AS n FROM (SELECT k, unnest(string_split(value, '')) AS x FROM c) WHERE x <> '' GROUP BY k, x), e AS (SELECT k, -sum(n / len(value) * log2(n / len(value))) AS h FROM ch JOIN c USING (k) GROUP BY k)
 SELECT file, value, round(h, 5) AS entropy FROM c JOIN e USING (k) WHERE h >= 4.0"""
 )
-def generic_secret_literals_docs(spark, d):
-    """Pages and documents; generic_secret_literals keeps its declared rows, those of pages."""
+def generic_secret_literals(spark, d):
     files = page_files(spark, d).unionByName(doc_files(spark, d))
     s = secrets.scored(secrets.literals(files).where((F.length("value") >= secrets.LEAST) & (F.length("value") <= secrets.MOST)))
     return s.where("entropy >= 4.0").select("file", "value", F.round("entropy", 5).alias("entropy"))
@@ -144,15 +132,6 @@ def generic_secret_literals_docs(spark, d):
 _STOP = "['" + "','".join(__import__("quarrylight.functions.scalar", fromlist=["STOP_WORDS"]).STOP_WORDS) + "']"
 
 
-@query(
-    f"""WITH t AS (SELECT conv_id, turn, text, string_split_regex(lower(text), '[ \\t\\r\\n\\f\\x0B]+') AS words FROM conversations WHERE text IS NOT NULL),
-s AS (SELECT *, len(list_filter(words, lambda w: list_contains({_STOP}, regexp_replace(w, '[^a-z]', '', 'g')))) AS known, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 1.0 / greatest(len(text), 1) AS letters FROM t)
-SELECT conv_id, turn, CASE WHEN len(words) < 3 THEN false WHEN known >= 2 THEN true ELSE contains(text, ' ') AND letters > 0.6 AND letters < 0.9 END AS prose FROM s"""
-)
-def natural_language_turns(spark, d):
-    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", is_prose(F.col("text")).alias("prose"))
-
-
 @query(
     f"""WITH b AS (SELECT 'doc/' || doc_id AS file, text FROM documents UNION ALL SELECT 'turn/' || conv_id || '/' || turn, text FROM conversations),
 t AS (SELECT file, text, string_split_regex(lower(text), '[ \\t\\r\\n\\f\\x0B]+') AS words FROM b WHERE text IS NOT NULL),
@@ -160,7 +139,7 @@ s AS (SELECT *, len(list_filter(words, lambda w: list_contains({_STOP}, regexp_r
 SELECT file, CASE WHEN len(words) < 3 THEN false WHEN known >= 2 THEN true ELSE contains(text, ' ') AND letters > 0.6 AND letters < 0.9 END AS prose FROM s"""
 )
 def natural_language_docs(spark, d):
-    """Documents and conversations; natural_language_turns keeps its declared rows, those of conversations."""
+    """Documents and conversations."""
     docs = table(spark, d, "documents").select(F.format_string("doc/%d", "doc_id").alias("file"), "text")
     turns = table(spark, d, "conversations").select(F.format_string("turn/%d/%d", "conv_id", "turn").alias("file"), "text")
     return docs.unionByName(turns).where("text is not null").select("file", is_prose(F.col("text")).alias("prose"))
@@ -512,10 +491,9 @@ def graph_stats(spark, d):
     return graph.stats(n, e)
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), x AS (SELECT src FROM e UNION SELECT dst FROM e), r(src, dst) AS (SELECT src, src FROM x UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
+@query(f"WITH RECURSIVE {_EDGES}, x AS (SELECT src FROM e UNION SELECT dst FROM e), r(src, dst) AS (SELECT src, src FROM x UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
 def reachability_closure(spark, d):
-    e = _edges(spark, d)
-    return callgraph.reachable(e.where("src like 's%' or src like 'n%'").select("src", "dst"))
+    return callgraph.reachable(_edges(spark, d))
 
 
 @query(f"WITH {_EDGES} SELECT a.src AS start, a.src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM e WHERE type = 'OF') a UNION ALL SELECT DISTINCT src, dst, 1 FROM e WHERE type = 'OF' UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.type = 'OF'")
@@ -547,22 +525,11 @@ def call_edges(spark, d):
     return callgraph.call_edges(callgraph.functions(sources.of_rows(spark, SNIPPETS)))
 
 
-@query(
-    """WITH RECURSIVE copy(src, dst) AS (SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 1), addr(var, alloc) AS (SELECT DISTINCT 'p' || p_partkey, 'b' || p_brand FROM part),
-pts(var, alloc) AS (SELECT var, alloc FROM addr UNION SELECT alloc, alloc FROM addr UNION SELECT dst, alloc FROM pts JOIN copy ON src = var) SELECT var, alloc FROM pts"""
-)
-def points_to_fixpoint(spark, d):
-    c = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.lit("copy").alias("kind"), F.format_string("s%d", "l_suppkey").alias("lhs"), F.format_string("p%d", "l_partkey").alias("rhs"))
-    a = table(spark, d, "part").select(F.lit("addr").alias("kind"), F.format_string("p%d", "p_partkey").alias("lhs"), F.concat(F.lit("b"), "p_brand").alias("rhs"))
-    return ssa.points_to(c.unionByName(a).distinct())
-
-
 @query(
     """WITH RECURSIVE copy(src, dst) AS (SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem), addr(var, alloc) AS (SELECT DISTINCT 'p' || p_partkey, 'b' || p_brand FROM part),
 pts(var, alloc) AS (SELECT var, alloc FROM addr UNION SELECT alloc, alloc FROM addr UNION SELECT dst, alloc FROM pts JOIN copy ON src = var) SELECT var, alloc FROM pts"""
 )
-def points_to_all_lines(spark, d):
-    """Every line item's constraint; points_to_fixpoint keeps its declared rows, those of first line numbers."""
+def points_to_fixpoint(spark, d):
     c = table(spark, d, "lineitem").select(F.lit("copy").alias("kind"), F.format_string("s%d", "l_suppkey").alias("lhs"), F.format_string("p%d", "l_partkey").alias("rhs"))
     a = table(spark, d, "part").select(F.lit("addr").alias("kind"), F.format_string("p%d", "p_partkey").alias("lhs"), F.concat(F.lit("b"), "p_brand").alias("rhs"))
     return ssa.points_to(c.unionByName(a).distinct())
@@ -625,14 +592,8 @@ def occurrence_fingerprint(spark, d):
     return findings.occurrences(doc_findings(spark, d)).groupBy("rule_id", "print").agg(F.max("occurrence").alias("last"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
-def html_escape(spark, d):
-    return table(spark, d, "pages").select("page_id", html_escaped(F.substring("html", 1, 80)).alias("escaped"))
-
-
 @query("SELECT page_id, length(e) AS n_chars, sha256(e) AS escaped_sha256 FROM (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS e FROM pages)")
-def html_escape_pages(spark, d):
-    """Whole pages; html_escape keeps its declared rows, the first 80 characters."""
+def html_escape(spark, d):
     p = table(spark, d, "pages").select("page_id", html_escaped(F.col("html")).alias("e"))
     return p.select("page_id", F.length("e").cast("bigint").alias("n_chars"), F.sha2(F.col("e"), 256).alias("escaped_sha256"))
 

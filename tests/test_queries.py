@@ -53,7 +53,7 @@ def test_html_escape_of_whole_pages(spark, tmp_path):
 
     pages = [(1, "x" * 200 + "<a href=\"b\">'c' & d</a>"), (2, None), (3, "")]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r.page_id: (r.n_chars, r.escaped_sha256) for r in QUERIES["html_escape_pages"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: (r.n_chars, r.escaped_sha256) for r in QUERIES["html_escape"](spark, str(tmp_path)).collect()}
     for k, text in pages:
         e = text and html.escape(text).replace("&#x27;", "&#39;")
         assert got[k] == ((None, None) if e is None else (len(e), hashlib.sha256(e.encode()).hexdigest()))
@@ -69,7 +69,7 @@ def test_queries_over_every_listed_table(spark, tmp_path):
     put("conversations", [(1, 2, "x y")], "conv_id long, turn long, text string")
     put("lineitem", [(1, 5, 1), (2, 6, 3)], "l_partkey long, l_suppkey long, l_linenumber int")
     put("part", [(1, "A"), (2, "B")], "p_partkey long, p_brand string")
-    got = {n: {tuple(r) for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("generic_secret_literals_docs", "natural_language_docs", "points_to_all_lines")}
-    assert {r[:2] for r in got["generic_secret_literals_docs"]} == {("doc/1.txt", secret), ("page/1.html", secret)}
+    got = {n: {tuple(r) for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("generic_secret_literals", "natural_language_docs", "points_to_fixpoint")}
+    assert {r[:2] for r in got["generic_secret_literals"]} == {("doc/1.txt", secret), ("page/1.html", secret)}
     assert {("doc/2", True), ("turn/1/2", False)} <= got["natural_language_docs"] and len(got["natural_language_docs"]) == 3
-    assert ("s6", "bB") in got["points_to_all_lines"]
+    assert ("s6", "bB") in got["points_to_fixpoint"]
