@@ -7,8 +7,8 @@ only when the whole node is short, so siblings are served before ancestors. Each
 and, of one further pass, the longest prefix in seeded order whose tokens fit.
 
 The prefix of a leaf is found in two steps: tokens are summed by hash bucket (the leading digits of the seeded order), the bucket
-where the budget runs out is found on those sums, and only that bucket's documents are put in order. So a leaf that holds a third
-of all rows is never sorted in one task.
+where the budget runs out is found on those sums, and only that bucket's documents are put in order. The number of digits grows
+with the largest leaf, so a leaf that holds a third of all rows is never sorted in one task.
 
 Defined results: a null text has no tokens; null lang or source is a leaf value of its own, written 'none'; documents without
 tokens are in every pass; ties in seeded order are broken by doc_id and text; repeated rows count as often as they come; texts of
@@ -30,8 +30,8 @@ DOMAIN_WEIGHTS = {"web": 0.5, "reference": 0.3, "": 0.2}
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, "": 0.05}
 SOURCE_WEIGHTS: dict[str, float] = {"src0": 4.0, "": 1.0}
 WEIGHTS = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS, "source": SOURCE_WEIGHTS}
-#: Leading hex digits of the seeded order that name a bucket (16 ** 3 buckets a leaf).
-BUCKET_DIGITS = 3
+#: Least number of leading hex digits of the seeded order that name a bucket, and rows of a bucket that more digits aim at.
+BUCKET_DIGITS, BUCKET_ROWS = 3, 4096
 MAX_EPOCHS = 4
 #: Leaves up to which the plan (a hundred bytes a leaf) is broadcast; tasks a leaf is spread over beyond that.
 BROADCAST_LEAVES, SALTS = 50_000, 64
@@ -97,6 +97,14 @@ def order_key(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
 
 
+def digits(rows: int) -> int:
+    """Hex digits that name the buckets of a leaf of so many rows, so that a bucket stays small however large the leaf is."""
+    n = BUCKET_DIGITS
+    while rows > BUCKET_ROWS * 16**n:
+        n += 1
+    return n
+
+
 def by_leaf(rows: DataFrame, plan: DataFrame, n_leaves: int) -> DataFrame:
     """Join rows with their leaf's line of the plan. A plan of few lines is broadcast after its size is known; a longer one is
     repeated SALTS times and joined on leaf and salt, so that a leaf with a third of all rows is spread over as many tasks."""
@@ -110,17 +118,19 @@ def by_leaf(rows: DataFrame, plan: DataFrame, n_leaves: int) -> DataFrame:
 def mixed(docs: DataFrame, budget: float | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(row, domain, lang, source, tokens, epoch): every row of docs, as a struct, as often as its leaf takes it."""
     k = keyed(docs)
-    supply = k.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"))
-    lines = allocate(supply, budget, max_epochs, weights).select(
+    supply = written(k.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"), F.count("*").alias("rows")), "supply")
+    n_leaves, most = supply.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
+    n_digits = digits(most)
+    lines = allocate(supply.drop("rows"), budget, max_epochs, weights).select(
         *LEVELS,
         F.when(F.col("supply") > 0, F.floor(F.col("take") / F.col("supply"))).otherwise(1).cast("int").alias("whole"),
         F.when(F.col("supply") > 0, F.col("take") % F.col("supply")).otherwise(0).alias("rest"),
     )
     first = written(lines, "plan")
-    n_leaves = first.count()
+    discard(supply)
     # the epoch that is taken in part has its own order; tokens by bucket of that order
     part = by_leaf(k.select(*LEVELS, "doc_id", "tokens"), first, n_leaves).where("rest > 0")
-    part = part.select(*LEVELS, "rest", "tokens", F.substring(order_key(seed, F.col("whole")), 1, BUCKET_DIGITS).alias("bucket"))
+    part = part.select(*LEVELS, "rest", "tokens", F.substring(order_key(seed, F.col("whole")), 1, n_digits).alias("bucket"))
     sums = part.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket"))
     cuts = sums.withColumn("upto", upto).where("upto > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("c"))
@@ -129,7 +139,7 @@ def mixed(docs: DataFrame, budget: float | None = None, max_epochs: int = MAX_EP
 
     d = by_leaf(k, plan, n_leaves)
     key = order_key(seed, F.col("whole"))
-    bucket = F.substring(key, 1, BUCKET_DIGITS)
+    bucket = F.substring(key, 1, n_digits)
     last = F.when(F.col("rest") <= 0, F.lit("out")).when(F.col("cut").isNull() | (bucket < F.col("cut")), "in").when(bucket == F.col("cut"), "cut").otherwise("out")
     d = d.withColumn("last", last).withColumn("place", key)
     out = ["row", *LEVELS, "tokens"]

@@ -314,6 +314,16 @@ def test_mixing_serves_siblings_first(spark):
     assert take == {"a": 10, "b": 490, "c": 200}
 
 
+def test_mixing_by_its_own_weights_and_any_bucket(spark, docs, monkeypatch):
+    whole = rows(mixing.query(docs))
+    assert [mixing.digits(n) for n in (0, 4096 * 16**3, 4096 * 16**3 + 1, 10**11)] == [3, 3, 4, 7]
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.001)  # more digits, the same rows
+    assert rows(mixing.query(docs)) == whole
+    leaves = spark.createDataFrame([("web", "en", "a", 1000), ("web", "de", "a", 1000)], "domain string, lang string, source string, supply long")
+    take = {r.lang: r.take for r in mixing.allocate(leaves, budget=1000.0, max_epochs=1, weights={"lang": {"en": 3.0, "": 1.0}}).collect()}
+    assert take == {"en": 750, "de": 250}
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
