@@ -50,10 +50,14 @@ def chosen(path: Column, size: Column, root: str, extensions: Iterable[str] = ()
     return keep & (F.regexp_extract(base, r".(\.[^.]*)$", 1).isin(exts) | base.isin(list(SPECIAL))) if exts else keep
 
 
+def text_of(content: Column) -> Column:
+    """Bytes as text; null if a zero byte says that they are none. Bytes that are not UTF-8 are replaced."""
+    return F.when(~F.contains(content, F.lit(b"\0")), F.make_valid_utf8(content.cast("string")))
+
+
 def _texts(raw: DataFrame, path: Column) -> DataFrame:
-    """Binary files as rows of text. A file with a zero byte is no text and is left out; bytes that are not UTF-8 are replaced."""
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return raw.where(~F.contains("content", F.lit(b"\0"))).select(*_columns(path, text, F.col("length")))
+    """Binary files as rows of text; files that are no text are left out."""
+    return raw.withColumn("text", text_of(F.col("content"))).where("text is not null").select(*_columns(path, F.col("text"), F.col("length")))
 
 
 def _local(path: Column) -> Column:

@@ -31,7 +31,7 @@ def watched(path) -> object:
 def of_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Changes of a folder: each file state that appears. Deletions are not seen by a file source; send them as events."""
     raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.lit("change").alias("event"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("at")).where(watched(F.col("path")))
+    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.lit("change").alias("event"), sources.text_of(F.col("content")).alias("content"), F.col("modificationTime").alias("at")).where(watched(F.col("path")) & F.col("content").isNotNull())
 
 
 def latest(events: DataFrame) -> DataFrame:
