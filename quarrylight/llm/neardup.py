@@ -368,20 +368,27 @@ def cross(table: pa.Table, nearest: int | None) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def across(members: DataFrame, labels: DataFrame, parities: DataFrame, nearest: int | None = None) -> DataFrame:
-    """Pairs of large groups whose nodes are in different components so far. A group with several components is cut into blocks of
-    about BLOCK nodes; its outer nodes, those outside of the largest component, go in blocks against every block of the group."""
+def across(members: DataFrame, labels: DataFrame, parities: DataFrame, tried: list[DataFrame], nearest: int | None = None) -> DataFrame:
+    """Pairs of large groups whose nodes are in different components so far, without those that were tried, written. A group with
+    several components is cut into blocks of about BLOCK nodes; its outer nodes, those outside of the largest component, go in
+    blocks against every block of the group."""
     m = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = m.groupBy("grp", "component").agg(F.count("*").alias("held"))
     most = sizes.groupBy("grp").agg(F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("all_"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
     most = most.select("grp", F.col("most.component").alias("main"), blocks(F.col("all_")).alias("n_all"), blocks(F.col("all_") - F.col("most.held")).alias("n_outer"))
+    most = written(most, "main")  # a plain table, so that Spark may split a large group's rows in the join
     m = m.join(most, "grp").join(parities.select("node", "parity"), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     columns = ["grp", "node", "size", "at", "component", "parity"]
     inner = m.select(*columns, F.lit(False).alias("outer"), own(F.col("n_all")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("n_outer") - 1)).alias("i"))
     outer = m.where("component <> main").select(*columns, F.lit(True).alias("outer"), own(F.col("n_outer")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
-    return inner.unionByName(outer).groupBy("grp", "i", "j").applyInArrow(lambda t: cross(t, nearest), "a binary, b binary").distinct()
+    pairs = inner.unionByName(outer).groupBy("grp", "i", "j").applyInArrow(lambda t: cross(t, nearest), "a binary, b binary").distinct()
+    for t in tried:
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    out = written(pairs, "more")
+    discard(most)
+    return out
 
 
 def grouped(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -403,10 +410,7 @@ def grouped(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     labels = components(links)
     # first each node's nearest pairs, which join most components; what is then left across components is verified in full
     for nearest in (*NEAREST_ROUNDS, None):
-        more = across(members, labels, parities, nearest)
-        for t in tried:
-            more = more.join(t, ["a", "b"], "left_anti")
-        more = written(more, "more")
+        more = across(members, labels, parities, tried, nearest)
         tried.append(more)
         if more.limit(1).count():
             links = verify(more, docs, size)
