@@ -42,6 +42,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BUCKET_DOCS, BUCKET_PIECES = 2000, 8000
 #: Different surroundings of one anchor up to which they are sorted in one task.
 ONE_TASK = 50_000
+#: Anchors with more, up to which their hashes (8 bytes each) are broadcast.
+BROADCAST_ANCHORS = 1_000_000
 #: Starts of strings that are looked at together, and anchors; both bound memory, not the result.
 STEP, ANCHORS_AT_ONCE = 1 << 20, 4096
 #: Anchors, and texts, that a task holds before it deals them out.
@@ -336,13 +338,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     compare = marks.where("settled is null or not settled")
     n_pieces, texts = compare.count(), rows.select("name", "text")
     buckets = max(1, -(-n_pieces // BUCKET_PIECES))
-    crowded = compare.groupBy("h").count().where(F.col("count") > ONE_TASK).select("h")
-    spans = sorted_spans(surroundings(texts, compare.join(crowded, "h", "left_anti"), buckets, length), length)
-    if crowded.limit(1).count():
-        spans = spans.unionByName(counted_spans(surroundings(texts, compare.join(crowded, "h", "left_semi"), buckets, length), length))
+    crowded = written(compare.groupBy("h").count().where(F.col("count") > ONE_TASK).select("h"), "crowded")
+    n_crowded = crowded.count()
+    if not n_crowded:
+        spans = sorted_spans(surroundings(texts, compare, buckets, length), length)
+    else:
+        few = F.broadcast(crowded) if n_crowded <= BROADCAST_ANCHORS else crowded
+        spans = sorted_spans(surroundings(texts, compare.join(few, "h", "left_anti"), buckets, length), length)
+        spans = spans.unionByName(counted_spans(surroundings(texts, compare.join(few, "h", "left_semi"), buckets, length), length))
     settled = marks.where("settled").select("name", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     every = written(settled.unionByName(spans), "spans")
     discard(marks)
+    discard(crowded)
     found = every.groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     both = copies.where("copies > 1").join(found, "name", "full").select("name", "copies", "found")
     return cut(rows, both, length)
