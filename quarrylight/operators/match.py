@@ -118,13 +118,15 @@ TYPES = [_type(x.split()[1]) for x in MATCHES.split(", ")]
 
 def match_rows(lines: DataFrame, patterns: Sequence[Mapping[str, str]]) -> DataFrame:
     """lines with a row for each of the patterns (rule_id, regex and what else is said of it) that its text holds, and how often: n.
-    Patterns are literals of one projection, so that the JVM compiles each once and nothing is joined. For catalogs whose matches
-    need neither masks nor positions."""
-    text = F.col("text")
+    Patterns are literals of one projection, so that the JVM compiles each once and nothing is joined. A pattern may name in `needs`
+    a text, in lower case, that every match holds in some case: lines without it are not tried. For catalogs whose matches need
+    neither masks nor positions."""
+    text, lower = F.col("text"), F.lower("text")
 
     def hit(p: Mapping[str, str]):
-        said = [F.lit(v).alias(k) for k, v in p.items() if k != "regex"]
-        return F.when(text.rlike(p["regex"]), F.struct(*said, F.regexp_count(text, F.lit(p["regex"])).alias("n")))
+        said = [F.lit(v).alias(k) for k, v in p.items() if k not in ("regex", "needs")]
+        found = text.rlike(p["regex"])
+        return F.when(F.contains(lower, F.lit(p["needs"])) & found if p.get("needs") else found, F.struct(*said, F.regexp_count(text, F.lit(p["regex"])).alias("n")))
 
     return lines.select("*", F.explode(F.array_compact(F.array(*map(hit, patterns)))).alias("hit")).select(*lines.columns, "hit.*")
 

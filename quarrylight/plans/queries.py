@@ -61,7 +61,8 @@ _CATALOG = f"catalog(rule_id, regex, severity, confidence, cwe) AS (VALUES {_VAL
 _HITS = f"{_LINES}, {_CATALOG}, hits AS (SELECT file, line, text, rule_id, severity, confidence, cwe, len(regexp_extract_all(text, regex)) AS n FROM lines, catalog WHERE regexp_matches(text, regex))"
 
 
-PATTERNS = [{"rule_id": r, "regex": j, "severity": s, "confidence": c, "cwe": w} for r, j, _, s, c, w in CATALOG]
+NEEDS = {"weak-cipher": "des", "hardcoded-token": "token = ", "script-tag": "<script", "email-address": "@", "license-line": "licen", "phone-number": "+1 ("}
+PATTERNS = [{"rule_id": r, "regex": j, "needs": NEEDS[r], "severity": s, "confidence": c, "cwe": w} for r, j, _, s, c, w in CATALOG]
 
 
 def doc_hits(spark: SparkSession, d: str) -> DataFrame:
