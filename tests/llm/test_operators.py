@@ -1,5 +1,6 @@
 """The operators against brute force, SQL and held-out labels; and the odd cases each has to bear."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chroma, classify, components, entries, fertility, licenses, mixing, neardup, packing, pii, substrings, suffixes, tokens
+from quarrylight.llm import chroma, classify, components, entries, fertility, licenses, mixing, neardup, packing, pii, substrings, subwords, suffixes, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -204,6 +205,37 @@ def test_base_counts():
         assert fertility.base_counts(text) == brute(text), repr(text)
 
 
+def test_fertility_measures_are_the_plain_ones():
+    import math
+    from collections import Counter
+
+    judge, rnd = fertility.Judge(), random.Random(10)
+
+    def whole(raw):
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    def entropy(ids):
+        n = len(ids)
+        at = list(range(0, n - 63, 64)) if n > 64 else []
+        windows = [ids[i : i + 64] for i in at] + ([ids[n - 64 :]] if n > 64 and n % 64 else []) if n > 64 else [ids]
+        return sum(-sum(c / len(w) * math.log2(c / len(w)) for c in Counter(w).values()) / math.log2(len(w)) if len(w) > 1 else 1.0 for w in windows) / len(windows)
+
+    texts = ["a", "", "word " * 70, PHRASE * 5] + ["".join(rnd.choice(["мир ", "the ", "中文", "é", "😀", "12 ", "\n", "ing", "\u1234"]) for _ in range(rnd.randint(1, 300))) for _ in range(40)]
+    for text in texts:
+        bpe, _ = judge.vocabulary(fertility.main_script(text, judge.classes))
+        ids = bpe.encoding.encode_ordinary(text)
+        raw = {i: r for r, i in bpe.ranks.items()}
+        got = judge(text)[8:]
+        assert got[0] == len(ids)
+        if ids:
+            expected = (len(text) / len(ids), sum(not whole(raw[i]) for i in ids) / len(ids), entropy(ids))
+            assert all(abs(a - b) < 1e-9 for a, b in zip(got[1:], expected, strict=True)), text
+
+
 def test_fertility_rejects_junk(spark):
     clean = " ".join(f"{a} {b} {c}." for a, b, c in zip(("The quick fox", "An old owl", "Seven ships", "Rain", "Her brother") * 4, ("sees", "finds", "sinks", "wets", "sells") * 4, ("a river", "the moon", "at dawn", "every roof", "green apples") * 4, strict=True))
     clean += " However much the summer promised, autumn arrived early; leaves covered paths, children gathered chestnuts, neighbours lit fires and talked about winters long gone by."
@@ -243,6 +275,19 @@ def test_pii_of_odd_runs_is_the_scan_of_the_contract():
             assert {k: found[k] for k in parts} == {k: [m.span() for m in re.finditer(v, t) if holds(k, m[0])] for k, v in parts.items()}, t
 
 
+def test_pii_added_kinds_are_scans_too():
+    a, rnd = pii.automaton(), random.Random(2)
+    sign = "[!#-&(-.0-9;=?A-Z\\[-~]"  # of a URL, without : / @ and quotes
+    url = re.compile(rf"[A-Za-z][A-Za-z0-9+.-]*://{sign}+:(?:{sign}|:)+@{sign}+")
+    for _ in range(20000):
+        t = "".join(rnd.choice(["a", "1", ":", "/", "://", "@", ".", "+", " ", "b:c@d"]) for _ in range(rnd.randint(3, 25)))
+        assert pii.find(t, a)["url_user"] == [m.span() for m in url.finditer(t)], t
+    said = {"IBAN DE89 3704 0044 0532 0130 00.": [(5, 32)], "DE89370400440532013000": [(0, 22)], "DE88 3704 0044 0532 0130 00": [], "ACCOUNT NO. 12345678": [(12, 20)], "Social Security 123-45-6789": [(16, 27)]}
+    for t, spans in said.items():
+        found = pii.find(t, a)
+        assert [x for k in ("iban", "account", "ssn") for x in found[k]] == spans, (t, found)
+
+
 @pytest.mark.parametrize("run", ["1", "a", "a@", "1.", "+1", "account ", "a://b:"])
 @pytest.mark.parametrize("end", ["", "@", ".5", "://", "1.1.1.1 "])
 def test_pii_of_long_runs(run, end):
@@ -454,6 +499,49 @@ def test_the_two_hashes_are_independent():
     assert len(sums) == 50
 
 
+def plain_subwords(text, shape):
+    """Buckets of a text's n-grams and words, one by one: no n-gram holds a space but at its ends."""
+    mask, multiplier, finish = 2**64 - 1, int(subwords.MULTIPLIER), int(subwords.FINISH)
+
+    def bucket(h):
+        return ((h ^ h >> 31) * finish & mask) >> (64 - shape.bits)
+
+    def form(c):
+        kinds = ((65, 90, 1), (192, 222, 1), (97, 122, 2), (223, 255, 2), (48, 57, 3))
+        return next((k << 22 for a, b, k in kinds if a <= c <= b), c)
+
+    code = [ord(c) for c in f" {subwords.prepared(text, shape)} "]
+    out = []
+    for salt, x in enumerate([code] + ([list(map(form, code))] if shape.forms else [])):
+        for n in range(shape.least, shape.most + 1):
+            for i in range(len(x) - n + 1):
+                if 32 not in code[i + 1 : i + n - 1]:
+                    h = x[i] + 1 + 977 * salt
+                    for c in x[i + 1 : i + n]:
+                        h = (h * multiplier + c) & mask
+                    out.append(bucket(h))
+        start = 1
+        for word in "".join(map(chr, code)).split(" ")[1:-1]:
+            if word:
+                out.append(bucket((sum(c * pow(multiplier, i, 2**64) for i, c in enumerate(x[start : start + len(word)])) + 31 + salt) & mask))
+            start += len(word) + 1
+    return sorted(out)
+
+
+def test_subwords_and_scores_are_the_plain_ones():
+    rnd, rng = random.Random(9), np.random.default_rng(9)
+    texts = ["", None, "a", "Ab1 é", "x x x y y", "hello  World hello"] + ["".join(rnd.choice("abCD1é- \n中") for _ in range(rnd.randint(1, 60))) for _ in range(60)]
+    for shape in (classify.QUALITY, classify.TOXICITY):
+        shape = dataclasses.replace(shape, bits=12)
+        weight, value = rng.random(1 << 12), rng.standard_normal(1 << 12)
+        scores = subwords.Model(shape, weight, value, 0.3).scores(texts)
+        for t, score in zip(texts, scores, strict=True):
+            plain = plain_subwords(t, shape)
+            assert sorted(np.concatenate([b for b, _ in subwords.subwords([subwords.prepared(t, shape)], shape)]).tolist()) == plain, t
+            z = 0.3 + value[plain].sum() / (weight[plain].sum() + shape.damp)
+            assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9, t
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
