@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm import fertility, mixing, neardup, packing, pii
-from quarrylight.llm.common import table, written
+from quarrylight.llm.common import discard, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every other stage's rows are written and read again."""
+    """The rows of the last stage; every other stage's rows are written and read again, and deleted when the next ones are there."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -25,6 +25,8 @@ TOXICITY = Shape(bits=18, least=3, most=5, lower=True, once=True)
 #: Labelled rows a model is trained on: of both labels together, or of each label.
 QUALITY_ROWS = 3000
 TOXIC_ROWS = {0: 2500, 1: 2000}
+#: Longer texts are scored, but not trained on, so that the sample is bounded in bytes too.
+SAMPLE_CHARS = 200_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -40,7 +42,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     else:
         chosen = known.orderBy(*order).limit(rows)
     # the sample's bound is what makes the broadcast safe
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
+    got = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["y"], r["text"] or ""))
     return [(r["text"], r["y"]) for r in got]
 
