@@ -83,6 +83,11 @@ RULES: tuple[Rule, ...] = (
         (rf"(?:Template|compile|renderString)\([^)]*{REQUEST}", "Request input is used as a template"),
         (r"new\s+Function\(\s*[^)\"']*\w", "A function is built from a value"),
         (r"\bERB\.new\(\s*params", "Request input is used as a template"),
+        (r"\.from_string\(\s*(?![\"'])", "A template is built at run time", {"requires": r"jinja2|Environment\("}),
+        (r"\b(?:ejs|pug|jade|handlebars|nunjucks|mustache|dot|_)\.(?:render|compile|template|renderString)\(\s*`[^`]*\$\{", "A template holds an interpolated value"),
+        (r"->createTemplate\(\s*\$", "A template is built at run time"),
+        (r"\btemplate\.(?:New|Must)\([^)]*\)\.Parse\(\s*[A-Za-z_]", "A template is built at run time", {"confidence": "medium"}),
+        (r"\bVelocity\.evaluate\(|\bnew\s+Template\([^)]*getParameter", "A template is built at run time"),
     ), "TA0002", "T1059", "Pass values to a fixed template."),
     Rule("ldap-injection", "high", "high", "CWE-90", WEB, _p(
         (r"\(\s*(?:uid|cn|mail|sAMAccountName)=\$\{", "A directory filter holds an interpolated value", {"mode": "strings"}),
@@ -107,6 +112,17 @@ RULES: tuple[Rule, ...] = (
         (r"\bDES\b", "A broken cipher is named", {"mode": "strings", "requires": r"cipher|crypt", "confidence": "low"}),
         (r"Math\.random\(\)[^;]*(?:token|secret|password|session|nonce)|(?:token|secret|password|session|nonce)\w*\s*=[^;]*Math\.random\(", "A secret comes from a weak generator"),
         (r"rejectUnauthorized\s*:\s*false|verify\s*=\s*False|InsecureSkipVerify\s*:\s*true", "Certificates are not checked"),
+        (r"\b(?:ARC4|RC4|ARC2|RC2|Blowfish|IDEA|CAST5?)\.new\(|\balgorithms\.(?:ARC4|Blowfish|IDEA|CAST5|TripleDES)\(|\b(?:rc4|des|blowfish)\.NewCipher\(", "A broken cipher is used"),
+        (r"\bSEED\b", "A cipher of the past is named", {"mode": "strings", "requires": r"createCipher|getInstance|Cipher", "confidence": "low"}),
+        (r"(?:token|secret|password|passwd|session|nonce|otp|salt|key)\w*\s*=[^;#]*\brandom\.(?:random|randint|randrange|choices?|sample|getrandbits|randbytes)\(", "A secret comes from a weak generator"),
+        (r"(?:token|secret|password|session|nonce|otp)\w*\s*:?=[^;]*\b(?:mt_rand|rand|rand\.Intn?|Random\.new)\s*\(", "A secret comes from a weak generator"),
+        (r"\b(?:iv|nonce|init_?vector)\w*\s*:?=\s*(?:b?[\"'][^\"']{8,}[\"']|Buffer\.(?:alloc\(\s*\d+\s*\)|from\(\s*[\"'])|bytes\(\s*\d+\s*\)|\[\]byte\(\")", "A start vector never changes", {"requires": r"cipher|crypt|aes|gcm|cbc"}),
+        (r"\bsalt\w*\s*:?=\s*(?:b?[\"'][^\"']{3,}[\"']|\[\]byte\(\")", "A salt never changes", {"requires": r"pbkdf2|scrypt|bcrypt|argon2|hash"}),
+        (r"\bpbkdf2(?:Sync)?\(\s*[^,()]+,[^,()]+,\s*\d{1,4}\s*,|\bpbkdf2_hmac\([^)]*,\s*\d{1,4}\s*[,)]|\bpbkdf2\.Key\([^)]*,\s*\d{1,4}\s*,|hash_pbkdf2\([^)]*,\s*\d{1,4}\s*[,)]", "A key is derived in few rounds"),
+        (r"\biterations\s*[:=]\s*\d{1,4}\b(?![_\d])", "A key is derived in few rounds", {"requires": r"pbkdf2"}),
+        (r"\bbcrypt\.(?:hash|hashSync|genSalt|genSaltSync)\([^)]*\b[1-7]\s*[,)]|\bgensalt\(\s*(?:rounds\s*=\s*)?[1-7]\s*\)", "A password is hashed in few rounds"),
+        (r"modulusLength\s*:\s*(?:512|768|1024)\b|key_size\s*=\s*(?:512|768|1024)\b|\bRSA\.generate\(\s*(?:512|768|1024)\b|\brsa\.GenerateKey\([^,]+,\s*(?:512|768|1024)\b", "A key is too short"),
+        (r"\bPROTOCOL_(?:SSLv2|SSLv3|SSLv23|TLSv1)\b|\b(?:SSLv2|SSLv3|TLSv1)_method\b|\btls\.Version(?:SSL30|TLS10|TLS11)\b", "An old protocol is allowed"),
     ), "TA0006", "T1555", "Use SHA-256 or better, and AES in GCM mode."),
     Rule("hardcoded-secrets", "critical", "high", "CWE-798", WEB + " .json .yml .yaml .env .properties .xml .sh .tf .toml .ini .cfg .conf", _p(
         (r"\bAKIA[0-9A-Z]{16}\b", "An access key id", {"flags": ""}),
@@ -206,6 +222,11 @@ RULES: tuple[Rule, ...] = (
         (r"\b(?:curl|wget)\b[^|]*\|\s*(?:ba)?sh", "A script is run from the network"),
         (r"^\s*ENV\s+\w*(?:PASSWORD|SECRET|TOKEN)\w*[ =]\S+", "A secret is in the image"),
         (r"chmod\s+(?:-R\s+)?777", "Everyone may write"),
+        (r"^\s*ARG\s+\w*(?:PASSWORD|SECRET|TOKEN|API_?KEY)\w*", "A secret is in the image's history"),
+        (r"\bcurl\b[^|&;]*\s(?:-k|--insecure)\b|--no-check-certificate|--trusted-host\b", "Certificates are not checked"),
+        (r"^\s*EXPOSE\s+(?:.*\s)?(?:22|23|2375)(?:/tcp)?\b", "A service for remote control is opened"),
+        (r"docker\.sock\b", "The host's containers can be controlled"),
+        (r"^\s*RUN\b.*\bsudo\b", "A step takes all rights"),
     ), "TA0004", "T1611", "Use a fixed tag and a plain user."),
     Rule("k8s-security", "high", "high", "CWE-250", ".yml .yaml", _p(
         (r"^\s*privileged\s*:\s*true", "A privileged container"),
@@ -223,6 +244,12 @@ RULES: tuple[Rule, ...] = (
         (r"(?:encrypted|storage_encrypted|enable_key_rotation)\s*=\s*false", "Encryption is off"),
         (r"publicly_accessible\s*=\s*true", "Open to the network"),
         (r"\"Action\"\s*:\s*\"\*\"|actions\s*=\s*\[\s*\"\*\"", "All actions are allowed"),
+        (r"ipv6_cidr_blocks\s*=\s*\[\s*\"::/0\"", "Open to every address"),
+        (r"http_tokens\s*=\s*\"optional\"", "Instance data is served without a token"),
+        (r"min(?:imum)?_tls_version\s*=\s*\"(?:TLS)?_?1[._][01]\"", "An old protocol is allowed"),
+        (r"enable_(?:logging|log_file_validation)\s*=\s*false", "Nothing is logged"),
+        (r"(?:block_public_(?:acls|policy)|restrict_public_buckets|ignore_public_acls)\s*=\s*false", "A bucket may be made public"),
+        (r"deletion_protection\s*=\s*false|skip_final_snapshot\s*=\s*true", "Data can be lost at once", {"confidence": "medium"}),
         requires=r"\b(?:resource|provider|module)\s+\"",
         mode="strings",
     ), fix="Narrow the access."),

@@ -211,3 +211,28 @@ def test_near_input(spark):
     assert {r.name: r["values"] for r in v.collect()} == {"a": ["req.body.x"], "b": ["a", "b + 1"]}
     flat = v.select("file", "name", F.explode("values").alias("value"))
     assert {r.name: r.chain for r in match.tainted_variables(flat, r"req\.body").collect()} == {"a": ["a"], "b": ["a", "b"]}
+
+
+MORE = {
+    "a.py": (
+        'import random, ssl, hashlib\nfrom Crypto.Cipher import AES, ARC4\ntoken = "".join(random.choice(x) for _ in range(9))\ncipher = ARC4.new(k)\niv = b"0123456789abcdef"\nk = hashlib.pbkdf2_hmac("sha256", p, s, 1000)\nctx = ssl.SSLContext(ssl.PROTOCOL_TLSv1)\nkey_size=1024\n',
+        {"insecure-crypto": {3, 4, 5, 6, 7, 8}},
+    ),
+    "b.js": ("crypto.pbkdf2Sync(pw, salt, 1000, 32, 'sha256');\nbcrypt.hash(pw, 4);\nejs.render(`<p>${name}</p>`);\ncrypto.generateKeyPairSync('rsa', { modulusLength: 1024 });\n", {"insecure-crypto": {1, 2, 4}, "ssti": {3}}),
+    "Dockerfile": ("FROM a:1\nARG DB_PASSWORD\nRUN curl -k https://x/y\nEXPOSE 22\n", {"docker-security": {2, 3, 4}}),
+    "m.tf": ('resource "a" "b" {\n  ipv6_cidr_blocks = ["::/0"]\n  http_tokens = "optional"\n  block_public_acls = false\n}\n', {"terraform-misconfig": {2, 3, 4}}),
+}
+LESS = {
+    "a.py": 'import random, secrets, hashlib\nfrom Crypto.Cipher import AES\ntoken = secrets.token_hex(16)\niv = secrets.token_bytes(16)\nk = hashlib.pbkdf2_hmac("sha256", p, s, 600000)\nkey_size=3072\n',
+    "b.js": "crypto.pbkdf2Sync(pw, salt, 310000, 32, 'sha256');\nbcrypt.hash(pw, 12);\nejs.render(page, { name });\n",
+    "Dockerfile": "FROM a:1\nARG VERSION\nRUN curl https://x/y -o z\nEXPOSE 8080 2200\n",
+    "m.tf": 'resource "a" "b" {\n  cidr_blocks = ["10.0.0.0/8"]\n  http_tokens = "required"\n  block_public_acls = true\n}\n',
+}
+
+
+def test_more_topics_of_the_catalog(spark):
+    found = match.match(files.of_rows(spark, [(f"bad/{n}", t) for n, (t, _) in MORE.items()] + [(f"good/{n}", t) for n, t in LESS.items()])).collect()
+    for name, (_, planted) in MORE.items():
+        for rule, lines in planted.items():
+            assert lines <= {r.line for r in found if r.file == f"bad/{name}" and r.rule_id == rule}, (name, rule)
+    assert not [(r.file, r.line, r.rule_id) for r in found if r.file.startswith("good/") and r.rule_id in ("insecure-crypto", "ssti", "docker-security", "terraform-misconfig")]
