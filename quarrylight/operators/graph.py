@@ -246,7 +246,7 @@ def taint_paths(g: Builder) -> list[tuple]:
         source = cats[n[0]][0]
         if not source:
             continue
-        names = result_variables(n[8]) or [v for v in IDENT.findall(n[8])][:3]
+        names = result_variables(n[8]) or IDENT.findall(n[8])
         for var in dict.fromkeys(names):
             if var in IGNORED or len(var) > 50:
                 continue
