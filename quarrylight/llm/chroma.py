@@ -27,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
+from .neardup import CHUNK as CHUNK_CELLS
+from .neardup import sketch_of
 from .shingles import mixed
 
 RATE, SIZE, HOP = 4000, 256, 128
@@ -41,6 +42,8 @@ WINDOW = 4
 SHARE = (1, 4)
 #: Share of the shorter recording that must lie in the overlap, and of bits there that may differ.
 LEAST_OVERLAP, MOST_ERRORS = (1, 2), 0.30
+#: Counts of sampled integers, of a fixed size whatever the corpus; they order integers by rareness and decide no result.
+SKETCH_BITS = 16
 #: Frames that are transformed at once; bounds memory, not the result.
 CHUNK = 16_384
 THRESHOLDS = (-0.25, 0.0, 0.25)
@@ -139,6 +142,11 @@ def sampled(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value.astype(np.int64), at[first]
 
 
+def cells(values: np.ndarray) -> np.ndarray:
+    """Where values are counted in the sketch."""
+    return (mixed(values.astype(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def needed(n: int, m: int) -> int:
     """Sampled integers that must agree at one offset, of recordings with n and m of them."""
     return -(-SHARE[0] * min(n, m) // SHARE[1])
@@ -181,43 +189,47 @@ def search(rows: DataFrame, ids: list[str], text: str, is_query) -> DataFrame:
     """Per row: ids, number of integers, class (the class's least ids), whether it is a query, and for queries the classes that
     align with it: their ids, offset, shared anchors and bit errors."""
     fps = fingerprints(rows.select(*ids, F.coalesce(is_query, F.lit(False)).cast("long").alias("is_query"), text), [*ids, "is_query"], text)
-    key = F.when(F.length("fp") > 0, F.sha2("fp", 256)).otherwise(F.concat_ws(":", F.lit("none"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids]))
-    named = written(fps.withColumns({"class": key, "is_query": F.col("is_query") > 0}), "fingerprints")
-    classes = written(named.groupBy("class").agg(F.min(F.struct(*ids)).alias("rep"), F.max("is_query").alias("asked"), F.first("fp").alias("fp")), "classes")
+    alone = F.concat_ws(":", F.lit("none"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids])
+    name = F.unhex(F.when(F.length("fp") > 0, F.sha2("fp", 256)).otherwise(F.sha2(alone, 256)))
+    members = written(fps.withColumns({"name": name, "is_query": F.col("is_query") > 0}), "members")
+    classes = members.groupBy("name").agg(F.min(F.struct(*ids)).alias("rep"), F.max("is_query").alias("asked"), F.first("fp").alias("fp"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    sounding = classes.where("length(fp) > 0")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            found = [cells(sampled(np.frombuffer(b, "<u4"))[0]) for b in batch.column(0).to_pylist()]
+            sketch += np.bincount(np.concatenate(found), minlength=len(sketch))
+        parts = sketch.astype(np.uint32).reshape(-1, CHUNK_CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
+
+    counts = rows.sparkSession.sparkContext.broadcast(sketch_of(sounding.select("fp").mapInArrow(counted, "chunk int, counts binary"), SKETCH_BITS))  # fixed size
 
-    def looked_up(of, only: str) -> DataFrame:
-        """(class, n, value, m): the integers that of() takes from each class, and how many are sampled from it and taken."""
+    def taken(of, some: DataFrame, c: str) -> DataFrame:
+        """(class, n, value, lead): the integers that of() takes from each class, how many are sampled from it, and which are the
+        rarest, of which one at least must be shared where the class is the shorter one."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cls, fp = (c.to_pylist() for c in batch.columns)
-                fp = [np.frombuffer(b, "<u4") for b in fp]
-                found = [of(x)[0] for x in fp]
-                m = [len(v) for v in found]
-                if sum(m):
-                    at = np.repeat(np.arange(len(m)), m)
-                    n = np.array([len(sampled(x)[0]) for x in fp])
-                    yield pa.RecordBatch.from_arrays([pa.array(cls).take(pa.array(at)), pa.array(n[at], pa.int32()), pa.array(np.concatenate(found), pa.int64()), pa.array(np.array(m)[at], pa.int32())], names=["class", "n", "value", "m"])
-
-        return classes.where("length(fp) > 0").where(only).select("class", "fp").mapInArrow(run, "class string, n int, value long, m int")
-
-    every = written(looked_up(sampled, "true"), "sampled")
-    asked = written(looked_up(integers, "asked"), "asked")
-    held = every.groupBy("value").agg(F.count("*").alias("held"))
-    place = F.row_number().over(W.partitionBy("class").orderBy("held", "value"))
-    least = F.ceil(F.col("n") * SHARE[0] / SHARE[1])
-
-    def rarest(some: DataFrame) -> DataFrame:
-        """Those of which one at least must be shared where the class is the shorter one."""
-        ranked = some.join(held, "value", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-        return ranked.withColumn("place", place).where(F.col("place") <= F.col("m") - least + 1).select("class", "n", "value")
-
-    def side(some: DataFrame, c: str) -> DataFrame:
-        return some.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), "value")
-
-    shorter = side(rarest(every), "r").join(side(asked, "q"), "value").where("n_r <= n_q")
-    longer = side(every, "r").join(side(rarest(asked), "q"), "value").where("n_r > n_q")
-    pairs = shorter.select("q", "r").union(longer.select("q", "r")).where("q <> r").distinct()
+                values, n, lead = [], [], []
+                for b in batch.column(1).to_pylist():
+                    fp = np.frombuffer(b, "<u4")
+                    v, k = of(fp)[0], len(sampled(fp)[0])
+                    first = np.zeros(len(v), bool)
+                    first[np.lexsort((v, counts.value[cells(v)]))[: len(v) - needed(k, k) + 1]] = True
+                    values.append(v)
+                    n.append(k)
+                    lead.append(first)
+                sizes = [len(v) for v in values]
+                who = pa.array(np.repeat(np.arange(len(values)), sizes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(who), pa.array(np.repeat(n, sizes), pa.int32()), pa.array(np.concatenate(values), pa.int64()), pa.array(np.concatenate(lead))], names=[c, f"n_{c}", "value", f"lead_{c}"])
+
+        return some.select("class", "fp").mapInArrow(run, f"{c} long, n_{c} int, value long, lead_{c} boolean")
+
+    r, q = taken(sampled, sounding, "r"), taken(integers, sounding.where("asked"), "q")
+    meet = (r["value"] == q["value"]) & (F.col("q") != F.col("r")) & F.when(F.col("n_r") <= F.col("n_q"), F.col("lead_r")).otherwise(F.col("lead_q"))
+    pairs = r.join(q, meet).select("q", "r").distinct()
     of = classes.select("class", "fp", "rep")
     pairs = pairs.join(of.select(F.col("class").alias("q"), F.col("fp").alias("qf")), "q").join(of.select(F.col("class").alias("r"), F.col("fp").alias("rf"), "rep"), "r")
 
@@ -230,10 +242,10 @@ def search(rows: DataFrame, ids: list[str], text: str, is_query) -> DataFrame:
                 got = list(zip(*(found[i] for i in keep), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(batch.column(3 + k).take(at) for k in range(len(ids))), pa.array(got[0], pa.int32()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.float64())], names=["q", *ids, "offset", "votes", "errors"])
 
-    hits = pairs.select("q", "qf", "rf", *[F.col(f"rep.{c}").alias(c) for c in ids]).mapInArrow(check, "q string, " + ", ".join(f"{c} long" for c in ids) + ", offset int, votes int, errors double")
+    hits = pairs.select("q", "qf", "rf", *[F.col(f"rep.{c}").alias(c) for c in ids]).mapInArrow(check, "q long, " + ", ".join(f"{c} long" for c in ids) + ", offset int, votes int, errors double")
     links = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct(*ids, "offset", "votes", "errors"))).alias("links"))
-    summary = classes.select("class", "rep").join(links, F.col("class") == F.col("q"), "left").select("class", "rep", "links")
-    out = named.select(*ids, "is_query", "class", (F.length("fp") / 4).cast("long").alias("n_integers")).join(summary, "class")
+    summary = classes.select("name", "class", "rep").join(links, F.col("class") == F.col("q"), "left").select("name", "rep", "links")
+    out = members.select(*ids, "is_query", "name", (F.length("fp") / 4).cast("long").alias("n_integers")).join(summary, "name")
     return out.select(*ids, "n_integers", *[F.col(f"rep.{c}").alias(f"class_{c}") for c in ids], "is_query", F.when(F.col("is_query"), F.coalesce("links", F.array().cast(links.schema["links"].dataType))).alias("links"))
 
 

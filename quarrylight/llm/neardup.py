@@ -97,8 +97,8 @@ def profile(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return _mapped(docs.select("doc_id", "text"), run, "doc_id long, node binary, n long, chunk int, counts binary, parity binary")
 
 
-def sketch_of(profiled: DataFrame) -> np.ndarray:
-    """The corpus-wide sketch (2 ** SKETCH_BITS counts, whatever the corpus): summed on the cluster chunk by chunk."""
+def sketch_of(profiled: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The corpus-wide sketch (2 ** bits counts, whatever the corpus): summed on the cluster chunk by chunk."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
@@ -106,7 +106,7 @@ def sketch_of(profiled: DataFrame) -> np.ndarray:
             total += np.frombuffer(b, np.uint32)
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << bits, np.int64)
     for r in profiled.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
     return np.minimum(out, 2**32 - 1).astype(np.uint32)
