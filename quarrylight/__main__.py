@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--init-rules", metavar="FOLDER")
     p.add_argument("--rule-folder")
     p.add_argument("--state", default=".quarrylight")
+    p.add_argument("--advisories", metavar="PATH", help="a table of advisories (JSON lines) in place of the built-in list")
     return p
 
 
@@ -63,13 +64,17 @@ def main(argv: list[str] | None = None) -> int:
         source = files.of_paths(spark, a.paths, extensions=o.extensions, exclude=o.exclude, max_size=o.max_size)
         if a.git_aware:
             source = source.join(files.changed_files(spark, a.paths[0], a.git_base), "file", "left_semi")
-        found = api.scan_incremental(source, a.state, o) if a.incremental else api.scan(source, o, verdicts)
+        advisories = api.read_advisories(spark, a.advisories) if a.advisories else None
+        found = api.scan_incremental(source, a.state, o) if a.incremental else api.scan(source, o, verdicts, advisories)
         found = found.persist()
-        if a.output:
-            sinks.export(found, a.format, a.output)
-        else:
-            print(sinks.FORMATS[a.format](found))
-        return sinks.exit_code(found)
+        try:
+            if a.output:
+                sinks.export(found, a.format, a.output)
+            else:
+                print(sinks.FORMATS[a.format](found))
+            return sinks.exit_code(found)
+        finally:
+            found.unpersist()
     except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 2

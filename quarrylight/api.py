@@ -14,14 +14,19 @@ from .plans.scan import ScanOptions, scan
 from .sources import files as sources
 from .sources import rules as user_rules
 from .sources import state
-from .schema import VERDICTS
+from .schema import ADVISORIES, VERDICTS
 
 INLINE = 40
 
 
-def scan_paths(spark: SparkSession, paths: list[str], options: ScanOptions | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+def scan_paths(spark: SparkSession, paths: list[str], options: ScanOptions | None = None, verdicts: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
     o = options or ScanOptions()
-    return scan(sources.of_paths(spark, paths, extensions=o.extensions, exclude=o.exclude, max_size=o.max_size), o, verdicts)
+    return scan(sources.of_paths(spark, paths, extensions=o.extensions, exclude=o.exclude, max_size=o.max_size), o, verdicts, advisories)
+
+
+def read_advisories(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """A table of advisories: ecosystem, pkg, id, aliases, summary, cvss, fixed_version."""
+    return spark.read.schema(ADVISORIES).format(fmt).load(path)
 
 
 def scan_rows(spark: SparkSession, rows: list[tuple[str, str]], options: ScanOptions | None = None) -> DataFrame:

@@ -133,3 +133,16 @@ def test_an_argument_list_of_many_lines(spark):
     text = "db.query(\n" + inner + "  `SELECT * FROM t WHERE id = ${id}`\n);\n"
     found = structural.structural(files.of_rows(spark, [("src/a.js", text)])).collect()
     assert any(r.rule_id == "sql-injection" and r.line == 1 for r in found)
+
+
+def test_advisories_of_a_table_and_a_patch_that_is_scanned_again(spark, tmp_path):
+    import json
+
+    (tmp_path / "package.json").write_text('{"dependencies": {"ownpackage": "1.0.0"}}')
+    (tmp_path / "advisories.jsonl").write_text(json.dumps({"ecosystem": "npm", "pkg": "ownpackage", "id": "OWN-1", "aliases": [], "summary": "Authentication bypass", "cvss": 8.0, "fixed_version": "1.0.1"}) + "\n")
+    table = api.read_advisories(spark, str(tmp_path / "advisories.jsonl"))
+    found = api.scan_paths(spark, [str(tmp_path / "package.json")], ScanOptions(taint=False, entropy=False), advisories=table).collect()
+    assert [(r.rule_id, r.severity, r.cwe) for r in found] == [("dep-cve", "high", "CWE-287")]
+    (tmp_path / "a.js").write_text("const a = 1;\nel.innerHTML = x;\n")
+    done = api.apply_fix(str(tmp_path / "a.js"), "el.innerHTML = x;", "el.textContent = x;", 2, spark)
+    assert done["line"] == 2 and done["remaining"] == 0
