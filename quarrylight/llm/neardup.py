@@ -51,6 +51,8 @@ NEAREST_ROUNDS = (2,)
 BUCKET_DOCS, BLOCK = 2000, 1024
 #: Entries of prefixes, and documents, that a task holds before it deals them out.
 HELD_ENTRIES, HELD_DOCS = 400_000, 60_000
+#: Texts that a task knows again; others may leave it twice, which costs a little and changes nothing.
+SEEN = 500_000
 
 PROFILE = ["doc_id", "node", "n", "chunk", "counts", "parity"]
 
@@ -165,7 +167,7 @@ def packs(docs: DataFrame, buckets: int, sketch, size: int = SIZE) -> DataFrame:
                 node = key_of(words)
                 if words and node not in seen:  # an equal text of this task has sent its prefix
                     fresh[node] = words
-                    if len(seen) < 500_000:
+                    if len(seen) < SEEN:
                         seen.add(node)
             for node, x in zip(fresh, shingler.of_many(list(fresh.values())), strict=True):
                 tokens.append(x[rarest(x, counts[(x >> shift).astype(np.int64)], prefix_length(len(x)))])
@@ -281,10 +283,18 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
         for batch in batches:
-            words = [normal(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, words), pa.binary()), pa.array(map(pack, words), pa.binary())], names=["node", "words"])
+            out = {}
+            for text in batch.column(0).to_pylist():
+                words = normal(text)
+                node = key_of(words)
+                if words and node not in seen:  # one copy of a text leaves a task
+                    out[node] = pack(words)
+                    if len(seen) < SEEN:
+                        seen.add(node)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], names=["node", "words"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -320,7 +330,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = _mapped(docs.select("text"), keyed, "node binary, words binary").where("node is not null")
+    texts = _mapped(docs.select("text"), keyed, "node binary, words binary")
     texts = written(texts.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "texts")
     of = [texts.select(F.col("node").alias(s), F.col("words").alias(f"words_{s}")) for s in "ab"]
     both = pairs.join(of[1], "b").join(of[0], "a")
