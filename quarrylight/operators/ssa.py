@@ -231,18 +231,25 @@ def constraints(instr: DataFrame) -> DataFrame:
     return instr.select(F.explode(parts).alias("c")).select("c.*").distinct()
 
 
+#: Constraints that one task of a join takes.
+TASK_ROWS = 1_000_000
+
+
 def points_to(c: DataFrame, rounds: int = 200) -> DataFrame:
     """(var, alloc): least inclusion-based solution. Each round joins the new pairs only."""
     of = lambda k: c.where(F.col("kind") == k)
-    copy = of("copy").select(F.col("rhs").alias("src"), F.col("lhs").alias("dst")).distinct()
+    # constraints are read once; every round's join then reads what was written
+    copy = checkpoint(of("copy").select(F.col("rhs").alias("src"), F.col("lhs").alias("dst")).distinct())
     load, store = of("load"), of("store")
+    parts = max(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-copy.count() // TASK_ROWS))
     pts = of("addr").select(F.col("lhs").alias("var"), F.col("rhs").alias("alloc"))
     pts = checkpoint(pts.union(pts.select(F.col("alloc"), F.col("alloc"))).distinct())
     for _ in range(rounds):
         loads = load.join(pts, load["rhs"] == pts["var"]).select(F.col("alloc").alias("src"), F.col("lhs").alias("dst"))
         stores = store.join(pts, store["lhs"] == pts["var"]).select(F.col("rhs").alias("src"), F.col("alloc").alias("dst"))
         e = copy.union(loads).union(stores).distinct()
-        step = e.join(pts, e["src"] == pts["var"]).select(F.col("dst").alias("var"), "alloc").distinct()
+        e, held = e.repartition(parts, "src"), pts.repartition(parts, "var")
+        step = e.join(held, e["src"] == held["var"]).select(F.col("dst").alias("var"), "alloc").distinct()
         new = checkpoint(step.join(pts, ["var", "alloc"], "left_anti"))
         if new.limit(1).count() == 0:
             return pts
