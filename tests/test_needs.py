@@ -5,9 +5,13 @@ import re
 import pyarrow as pa
 import pytest
 
-from quarrylight.functions.needs import clauses, pieces, possible
-from quarrylight.operators import lexer
+from quarrylight.functions import cvss
+from quarrylight.functions.needs import BATCH_BYTES, BATCH_ROWS, batched, clauses, pieces, possible
+from quarrylight.functions.scalar import fixed_rows
+from quarrylight.operators import deps, findings, lexer, match
 from quarrylight.plans import queries
+from quarrylight.plans.scan import conformed
+from quarrylight.sources import files as sources
 
 
 @pytest.mark.parametrize(
@@ -46,3 +50,47 @@ def test_modules_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "MODULES_A_TASK", 50)
     m = queries.modules(spark, str(tmp_path))
     assert m.rdd.getNumPartitions() == 20 and m.distinct().count() == 1000
+
+
+@pytest.mark.parametrize(("n", "text"), [(3000, "a@b.cc"), (1200, "x " * 10_000 + "a@b.cc")])
+def test_scans_are_handed_small_batches(spark, monkeypatch, n, text):
+    """By Spark's defaults a task's rows come as one batch here."""
+    for k in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{k}")
+    inner, rows, size = pieces, BATCH_ROWS, BATCH_BYTES + 100_000
+
+    def checked(batches):
+        for batch in batches:
+            assert batch.num_rows <= rows and batch.nbytes <= size, (batch.num_rows, batch.nbytes)
+            yield from inner([batch])
+
+    monkeypatch.setattr(match, "pieces", checked)
+    files = sources.of_table(spark.range(0, n, 1, 1).selectExpr("id", f"concat('{text}', id % 10) text"), queries.F.format_string("doc/%d.txt", "id"), "text")
+    assert match.custom_rules(files, list(queries.USER_RULES)).where("rule_id = 'email-address'").select("file").distinct().count() == n
+
+
+def test_many_findings_of_one_text_leave_in_small_batches(monkeypatch):
+    got = {}
+    monkeypatch.setattr(match, "mapped", lambda df, run, schema: got.update(run=run))
+
+    class Files:
+        def select(self, *_):
+            return self
+
+    match.custom_rules(Files(), list(queries.USER_RULES))
+    text = "\n".join(f"user{i}@mail.example" for i in range(2500))
+    one = pa.RecordBatch.from_arrays([pa.array([x]) for x in ("doc/1.txt", "1.txt", ".txt", text)], names=["file", "basename", "ext", "content"])
+    out = list(got["run"](iter([one])))
+    assert [b.num_rows for b in out] == [1000, 1000, 500]
+    assert [x for b in out for x in b.column(6).to_pylist()] == list(range(1, 2501)) and [x for b in out for x in b.column(19).to_pylist()] == list(range(2500))
+    assert not list(batched([], [pa.int64()], ["a"]))
+
+
+def test_fixed_tables_start_no_python(spark):
+    rows = [("a", (1.5, "x"), ["p", None]), ("b", None, []), (None, (None, None), None)]
+    got = fixed_rows(spark, rows, "k string, s struct<v:double,w:string>, l array<string>")
+    assert [tuple(tuple(x) if isinstance(x, tuple) else x for x in r) for r in got.collect()] == rows
+    scored = findings.enrich(conformed(spark.range(1).selectExpr("'sql-injection' rule_id", "'CWE-89' cwe")))
+    assert tuple(scored.first()["cvss"]) == cvss.score(cvss.DEFAULT_VECTORS["sql-injection"])
+    for df in (got, scored, deps.offline_advisories(spark)):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
